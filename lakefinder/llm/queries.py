@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakefinder.llm import decontaminate, dedup, sharding
+from lakefinder.llm import decontaminate, dedup, ngram_jaccard, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.similar_documents(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return out.drop("row_no")
@@ -32,7 +36,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 8)
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op5_decontamination, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op4_exact_dedup, op5_decontamination, op10_sharding)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": r"""
