@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakefinder.llm import decontaminate, dedup, ngram_jaccard, sharding
+from lakefinder.llm import bpe, decontaminate, dedup, ngram_jaccard, sharding, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    """Where the vocabulary of op7 and op8 lies; it is never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.similar_documents(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
 
@@ -32,11 +39,21 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode_documents(docs, vocabulary(), digests=True)
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = token_counts.token_lengths(table(spark, sf_dir, "documents"), vocabulary())
+    return token_counts.length_histogram(lengths)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 8)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op4_exact_dedup, op5_decontamination, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op4_exact_dedup, op5_decontamination, op7_bpe, op8_token_counts, op10_sharding)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": r"""
