@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakefinder.llm import bpe, decontaminate, dedup, ngram_jaccard, quality, sharding, token_counts, toxicity
+from lakefinder.llm import bpe, decontaminate, dedup, langid, ngram_jaccard, pii, quality, sharding, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The key of op3, for tests; whoever runs it on real data passes another one.
+PII_KEY = b"lakefinder test key"
+
+
 def vocabulary() -> str:
     """Where the vocabulary of op7 and op8 lies; it is never copied."""
     import public_tokenizers
@@ -26,6 +30,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return out.select("doc_id", F.coalesce(F.size("private"), F.lit(0)).cast("long").alias("n_private"), "text", "private")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return out.drop("row_no")
@@ -57,11 +66,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(lengths)
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.classify(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 8)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_quality, op4_exact_dedup, op5_decontamination, op6_toxicity, op7_bpe, op8_token_counts, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_quality, op3_pii, op4_exact_dedup, op5_decontamination, op6_toxicity, op7_bpe, op8_token_counts, op9_langid, op10_sharding)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": r"""

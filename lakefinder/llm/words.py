@@ -71,6 +71,7 @@ class Words:
     end: np.ndarray
     hash: np.ndarray  #: uint64, of the word after lower-casing A-Z (unless cased)
     offs: np.ndarray  #: first word of each document, and the total
+    bounds: np.ndarray  #: first byte of each document in buf, and the total
 
     @property
     def doc(self) -> np.ndarray:
@@ -128,7 +129,7 @@ def words(col: pa.Array, inside: np.ndarray, cased: bool = False, limit: int = P
     """The words of all texts of a column; null has none."""
     for i, j, buf, bounds in pieces(col, limit):
         if len(buf) <= 2 * limit:
-            yield Words(i, j, buf, *split(buf, bounds, inside, cased))
+            yield Words(i, j, buf, *split(buf, bounds, inside, cased), bounds)
             continue
         found, at = [], 0  # one long text
         while at < len(buf):
@@ -140,7 +141,7 @@ def words(col: pa.Array, inside: np.ndarray, cased: bool = False, limit: int = P
             found.append((s + at, e + at, h))
             at = to
         s, e, h = (np.concatenate(x) for x in zip(*found, strict=True))
-        yield Words(i, j, buf, s, e, h, np.array([0, len(s)]))
+        yield Words(i, j, buf, s, e, h, np.array([0, len(s)]), bounds)
 
 
 def sequence_hash(h: np.ndarray, n: int) -> np.ndarray:
