@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 #: Added to the code point of a word's last atom.
 LAST = 0x1000
@@ -263,7 +263,7 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text", decoded
     added |= {"ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())} if digests else {"ids": ("array<int>", pa.list_(pa.int32()))}
     added |= {"decoded": ("string", pa.string())} if decoded else {}
     kept = [f for f in docs.schema if f.name != text_col and f.name not in added]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{k} {v[0]}" for k, v in added.items()])
+    schema = T.StructType([*kept, *T.StructType.fromDDL(", ".join([f"{k} {v[0]}" for k, v in added.items()]))])
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +289,7 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text", decoded
 def decode_ids(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """Replace the ids by the text they decode to, ``decoded`` (null ids: null)."""
     kept = [f for f in rows.schema if f.name not in (ids_col, "decoded")]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["decoded string"])
+    schema = T.StructType([*kept, *T.StructType.fromDDL(", ".join(["decoded string"]))])
     shared = rows.sparkSession.sparkContext.broadcast(load(path)[3])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,13 +27,13 @@ def components(edges: DataFrame) -> DataFrame:
     smallest ones themselves.  Repeated edges count once; no edges give no rows.  A hub of
     any degree costs one aggregate and one join on its id, which adaptive execution splits.
     """
-    now = materialize(edges.where("u != v").distinct(), "edges")
-    state = None
+    now = edges.where("u != v").distinct()
     while True:
         after = materialize(_small_star(_large_star(now)), "edges")
-        seen = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        discard(now)
+        if now is not edges:
+            discard(now)
         now = after
-        if seen[0] == 0 or seen == state:
-            return now
-        state = seen
+        # done when every node has one edge, to a node that has none: trees of depth one, one for each component
+        n, nodes = after.agg(F.count("*"), F.countDistinct("u")).first()
+        if n == nodes and after.join(after.select(F.col("v").alias("w")).distinct(), F.col("u") == F.col("w"), "left_semi").isEmpty():
+            return after

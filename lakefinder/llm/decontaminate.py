@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from lakefinder.llm import words as W
 
@@ -174,10 +174,11 @@ def same_words(w: W.Words, at: int, text: list[bytes]) -> bool:
     return all(raw[w.start[at + k] - base : w.end[at + k] - base] == x for k, x in enumerate(text))
 
 
-def find_windows(docs: DataFrame, text_col: str, win: Windows, pre: dict) -> DataFrame:
-    """``docs`` (its columns other than the text) with n_words, merged spans of hit words, and the items that occur."""
-    kept = [c for c in docs.columns if c != text_col]
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col] + ["n_words long", f"spans {SPANS}", "items array<string>"])
+def find_windows(docs: DataFrame, text_col: str, win: Windows, pre: dict, keep_text: bool) -> DataFrame:
+    """``docs`` (without its text, unless that is to be kept) with n_words, merged spans of hit words, and the items that occur."""
+    added = T.StructType.fromDDL(f"__n_words long, __spans {SPANS}, __items array<string>")
+    kept = [c for c in docs.columns if keep_text or c != text_col]
+    schema = T.StructType([*(docs.schema[c] for c in kept), *added])
     shared = docs.sparkSession.sparkContext.broadcast((win, pre))
     span_type = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
@@ -204,46 +205,59 @@ def find_windows(docs: DataFrame, text_col: str, win: Windows, pre: dict) -> Dat
                 spans += own_spans
                 items += map(sorted, own_items)
             n_all = np.concatenate(n_words) if n_words else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(n_all, pa.int64()), pa.array(spans, span_type), pa.array(items, pa.list_(pa.string()))], [*kept, "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(n_all, pa.int64()), pa.array(spans, span_type), pa.array(items, pa.list_(pa.string()))], schema.names)
 
     return docs.mapInArrow(find, schema)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Find in every document the windows of benchmark items.
-
-    Words are runs of letters a-z, digits and characters beyond ASCII, after lower-casing
-    A-Z.  Returns one row per document: doc_id, n_words, spans (merged ranges [s, e) of
-    the words that lie in an occurrence of a window) and items (ids, as strings, of the
-    items of which a window occurs; sorted).
-
-    A null text has no words, and an item without words has no windows.  Windows of items
-    whose id is null count as hits but name no item; rows that repeat an item_id are one
-    item of several texts.  Rows that repeat a doc_id are looked at singly.  An empty
-    benchmark hits nothing; an empty table gives an empty result.
-    """
+def _marked(rows: DataFrame, benchmark: DataFrame, window: int, shingle: int, text_col: str, item_col: str, item_text_col: str, keep_text: bool) -> DataFrame:
+    """``rows`` with __n_words, __spans and __items, over all blocks of the benchmark."""
     bench = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("body"))
     size = bench.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     n_blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("body"))
     if n_blocks > 1:
-        rows = rows.withColumn("row_no", F.monotonically_increasing_id())
+        rows = rows.withColumn("__row", F.monotonically_increasing_id())
     found = []
     for b in range(n_blocks):
         block = bench if n_blocks == 1 else bench.where(F.pmod(F.xxhash64("item", "body"), F.lit(n_blocks)) == b)
         win = windows_of([(r.item, r.body) for r in block.toLocalIterator()], window, shingle)
-        frequency = count_shingles(rows, "body", {k: list(v) for k, v in win.shingles.items()}) if win.shingles else {}
-        found.append(find_windows(rows, "body", win, prefixes(win, frequency)))
+        frequency = count_shingles(rows, text_col, {k: list(v) for k, v in win.shingles.items()}) if win.shingles else {}
+        found.append(find_windows(rows, text_col, win, prefixes(win, frequency), keep_text))
     if n_blocks == 1:
         return found[0]
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    return (
-        every.groupBy("row_no")
-        .agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        .drop("row_no")
-    )
+    own = [c for c in every.columns if c not in ("__row", "__spans", "__items")]
+    return every.groupBy("__row").agg(
+        *(F.first(c).alias(c) for c in own),
+        F.array_sort(F.flatten(F.collect_list("__spans"))).alias("__spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items"),
+    ).drop("__row")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """Find in every document the windows of benchmark items.
+
+    Words are runs of letters a-z, digits and characters beyond ASCII, after lower-casing
+    A-Z.  Returns one row per document: doc_id, n_words, spans (ranges [s, e) of the words
+    that lie in an occurrence of a window; sorted) and items (ids, as strings, of the items of
+    which a window occurs; sorted).
+
+    A null text has no words, and an item without words has no windows.  Windows of items
+    whose id is null count as hits but name no item; rows that repeat an item_id are one
+    item of several texts.  Rows that repeat a doc_id are looked at singly.  An empty
+    benchmark hits nothing; an empty table gives an empty result.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("body"))
+    found = _marked(rows, benchmark, window, shingle, "body", item_col, item_text_col, keep_text=False)
+    return found.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__spans").alias("spans"), F.col("__items").alias("items"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows in which a window of a benchmark item occurs; all columns stay as they are."""
+    found = _marked(docs, benchmark, window, shingle, text_col, item_col, item_text_col, keep_text=True)
+    return found.where(F.size("__spans") == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def n_hit(spans: str = "spans"):

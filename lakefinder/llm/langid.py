@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lakefinder.llm import linear, words as W
 
@@ -276,7 +276,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", runs: bool =
     """
     kept = [f for f in docs.schema if f.name not in (text_col, "lang_pred", "score", "runs")]
     added = ["lang_pred string", "score double"] + ["runs array<struct<lang:string,first:int,end:int>>"] * runs
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + added)
+    schema = T.StructType([*kept, *T.StructType.fromDDL(", ".join(added))])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     run_type = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("end", pa.int32())]))
 

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lakefinder.llm import words as W
 
@@ -120,21 +120,22 @@ def platt(margin: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, f
     return float(ab[0] / scale), float(ab[1])
 
 
-def score(docs: DataFrame, features: Features, bits: int, cased: bool, model, text_col: str = "text") -> DataFrame:
-    """``docs`` without its text, with ``score``: ``model.scores(offsets, columns)`` of whole texts.
+def score(docs: DataFrame, features: Features, bits: int, cased: bool, model, text_col: str = "text", out: str = "score", keep_text: bool = False) -> DataFrame:
+    """``docs`` (without its text, unless that is to be kept) with ``out``: ``model.scores(offsets, columns)`` of whole texts.
 
     The model, arrays of 2**bits numbers at most, is broadcast.
     """
-    kept = [f for f in docs.schema if f.name not in (text_col, "score")]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["score double"])
+    kept = [f for f in docs.schema if f.name != out and (keep_text or f.name != text_col)]
+    schema = T.StructType([*kept, T.StructField(out, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         used = model.used()
         for batch in batches:
-            out = [model.scores(offs, cols) for _, offs, cols in rows(batch.column(len(kept)), features, bits, cased, used)]
-            got = np.concatenate(out) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(got, pa.float64())], [*(f.name for f in kept), "score"])
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            found = [model.scores(offs, cols) for _, offs, cols in rows(texts, features, bits, cased, used)]
+            got = np.concatenate(found) if found else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name)) for f in kept), pa.array(got, pa.float64())], schema.names)
 
-    return docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.drop(out).mapInArrow(run, schema)

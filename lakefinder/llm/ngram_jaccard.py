@@ -4,18 +4,24 @@
    128-bit digest; from here on only classes count, named by their smallest doc_id.
 2. Each class gives the block keys of its parity sketch (``parity``); similar classes share
    a key.  Classes with a key in common form a group.
-3. In a group each class is compared with one hub (in groups of ``SMALL`` or fewer with
-   every other), first by sketches, whose Hamming distance rules out most pairs, then by
-   the sets themselves.
-4. Groups that are not yet one component go on with what the members have apart from their
-   hub.  If x and y are similar and not both similar to hub h, then the differences D(x) =
-   x ^ h and D(y) = y ^ h have at least (|D(x)| + |D(y)| - most_apart) / 2 > 0 elements in
-   common.  So x and y share one of their most_apart + 1 rarest differences, and those are
-   the next round's keys.  A group of thousands of near copies falls apart there, as the
-   text they share is no longer looked at.  A round's groups lack the hub of the group they
-   come from, so rounds end.
-
-No step puts the pairs of a large group together; rows per round grow with the members.
+3. In groups of ``SMALL`` classes or fewer all are compared, first by sketches, whose Hamming
+   distance rules out most pairs, then by the sets themselves.
+4. In a larger group each class x is compared with one hub h only: by its difference
+   D(x) = x ^ h, it is near (similar to the hub) or stray.  Two near classes are linked by
+   the hub.  A class x and a stray y that are similar have more than
+   (|D(x)| - c (|x| - |h|)) / 2 differences in common, c being (den - num) / (den + num), and
+   at least |D(y)| - c (|x| + |y|).  So, by the prefix filter, with differences in order of
+   rarity, they share one of the rarest half or so of D(x) and one of the c (|x| + |y|) + 1
+   rarest of D(y).  Those are the next groups' keys, of members that no link joins yet.
+   What near copies have in common is not among the differences, and their own edits are
+   rare: a group of thousands falls apart.
+5. Where such a group is still large, it is tried whether the class nearest to the hub makes
+   a better hub for it (it does for copies of an edited copy); if so, the group goes on with
+   that hub from step 4.  If not, its members are spread by their second common difference,
+   the third and so on: with k common differences guaranteed, the first k of them stand
+   among the rarest (as many as above, plus k - 1) of both.
+
+No step puts the pairs of a large group together; rows grow with the members.
 """
 
 from __future__ import annotations
@@ -32,6 +38,8 @@ from lakefinder.scratch import discard, materialize
 
 #: All pairs of a group of up to so many classes are compared at once.
 SMALL = 8
+#: The same for groups that share two differences from a hub or more.
+SMALL_SPREAD = 40
 
 
 def _classes(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -99,62 +107,138 @@ def _near_by_sketch(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return fits.select("a", "b", "na", "nb", "ska", "skb").mapInArrow(run, "a long, b long")
 
 
-def _groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (key, rep) rows: the pairs to compare, and the (hub, rep) rows of groups above SMALL, by key."""
+def _with(pairs: DataFrame, col: str, other: DataFrame, key: str, **names: str) -> DataFrame:
+    return pairs.join(other.select(F.col(key).alias(col), *(F.col(c).alias(n) for c, n in names.items())), col)
+
+
+def _first_groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From (key, rep) rows: the pairs (a, b) of small groups, and (hub, rep) of large ones."""
     ranked = Window.partitionBy("key").orderBy("rep")
     rows = (
         rows.withColumn("hub", F.first("rep").over(ranked))
         .withColumn("size", F.count("*").over(Window.partitionBy("key")))
         .where("size > 1")
-        .withColumn("before", F.collect_list("rep").over(ranked.rowsBetween(-(SMALL - 1), -1)))
+        .withColumn("before", F.when(F.col("size") <= SMALL, F.collect_list("rep").over(ranked.rowsBetween(-(SMALL - 1), -1))))
         .where("rep != hub")
     )
-    rows = materialize(rows.select("key", "rep", "hub", F.when(F.col("size") <= SMALL, F.col("before")).otherwise(F.array("hub")).alias("others"), (F.col("size") > SMALL).alias("large")), "groups")
-    pairs = rows.select(F.explode("others").alias("a"), F.col("rep").alias("b")).distinct()
-    return pairs, rows.where("large").select("key", "rep", "hub")
+    rows = materialize(rows.select("rep", "hub", "before"), "groups")
+    pairs = rows.where("before is not null").select(F.explode("before").alias("a"), F.col("rep").alias("b")).distinct()
+    return pairs, rows.where("before is null").select("hub", "rep").distinct()
 
 
-def _with(pairs: DataFrame, col: str, other: DataFrame, key: str, **names: str) -> DataFrame:
-    return pairs.join(other.select(F.col(key).alias(col), *(F.col(c).alias(n) for c, n in names.items())), col)
+def _near(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """Those pairs (a, b) that sketches do not rule out."""
+    both = _with(_with(pairs, "a", reps, "rep", n="na", sketch="ska"), "b", reps, "rep", n="nb", sketch="skb")
+    return materialize(_near_by_sketch(both, num, den), "near")
 
 
-def links(docs: DataFrame, reps: DataFrame, rows: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Links (u, v) that give classes their components, from first (key, rep) rows; docs: (doc_id, text)."""
-    sets = found = component = None
+def _similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (u, v): those pairs (a, b) whose sets are similar."""
+    both = _with(_with(pairs, "a", sets, "rep", elems="ea"), "b", sets, "rep", elems="eb").withColumn("same", F.size(F.array_intersect("ea", "eb")))
+    return materialize(both.where(f"same * {den} >= (size(ea) + size(eb) - same) * {num}").select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+
+
+def _apart(hubs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(hub, rep, near, far, index_length, probe_length, token): the differences of each class from its hub."""
+    both = _with(_with(hubs, "rep", sets, "rep", elems="er"), "hub", sets, "rep", elems="eh")
+    both = both.withColumn("diff", F.concat(F.array_except("er", "eh"), F.array_except("eh", "er"))).withColumn("far", F.size("diff"))
+    c = f"cast({den - num} as long)"
+    both = both.select(
+        "hub", "rep", "far", "diff",
+        F.expr(f"far * cast({den + num} as long) <= {c} * (size(er) + size(eh))").alias("near"),
+        F.expr(f"far - (far - ceil({c} * greatest(0, size(er) - size(eh)) / {den + num})) div 2").alias("index_length"),
+        # a partner's size is den / num times its own at most
+        F.expr(f"{c} * (size(er) + size(er) * cast({den} as long) div {num}) div {den + num} + 1").alias("probe_length"),
+    ).withColumn("probe_length", F.least("probe_length", "far"))
+    return materialize(both.select("hub", "rep", "near", "far", "index_length", "probe_length", F.explode("diff").alias("token")), "apart")
+
+
+def _ranked(apart: DataFrame, label: DataFrame) -> DataFrame:
+    """The differences that two classes or more of a hub share, ranked by rarity, with the classes' components.
+
+    Only of hubs whose classes are of more than one component.
+    """
+    reps = apart.select("hub", "rep").distinct().join(label.select(F.col("u").alias("rep"), "v"), "rep", "left").withColumn("label", F.coalesce("v", "rep")).drop("v")
+    mixed = reps.groupBy("hub").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("hub")
+    reps = reps.join(mixed, "hub")
+    counts = apart.groupBy("hub", "token").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("hub", "rep").orderBy("n", "token"))
+    rows = apart.join(reps, ["hub", "rep"]).join(counts, ["hub", "token"]).withColumn("rank", rank)
+    return materialize(rows.where("n > 1").drop("n"), "ranked")
+
+
+def _mixed_groups(rows: DataFrame) -> DataFrame:
+    """Rows of those keys that a probe and an index row of two components share, with the group's ``size``."""
+    groups = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("least"), F.max("label").alias("most"), F.max("probe").alias("probed"), F.max("index").alias("indexed"))
+    return materialize(rows.join(groups.where("least != most and probed and indexed").select("key", "size"), "key"), "rows")
+
+
+def _crossed(rows: DataFrame, partners: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a probe and an index row (of ``partners``) of one key and two components."""
+    probe = rows.where("probe").select("key", F.col("rep").alias("x"), F.col("label").alias("lx"))
+    index = partners.where("index").select("key", F.col("rep").alias("y"), F.col("label").alias("ly"))
+    return probe.join(index, "key").where("lx != ly").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _better_hubs(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, hub, rep) of the groups that lose a quarter of their differences with the class nearest to their hub as hub."""
+    nearest = large.groupBy("key").agg(F.min(F.struct("far", "rep")).alias("best")).select("key", F.col("best.rep").alias("other"))
+    tried = large.select("key", "rep", "far").join(nearest, "key").where("rep != other")
+    both = _with(_with(tried.select("other", "rep").distinct(), "rep", sets, "rep", elems="er"), "other", sets, "rep", elems="eo")
+    now = both.select("other", "rep", F.expr("size(er) + size(eo) - 2 * size(array_intersect(er, eo))").alias("now"))
+    tried = materialize(tried.join(now, ["other", "rep"]), "tried")
+    better = tried.groupBy("key").agg(F.sum("far").alias("was"), F.sum("now").alias("now")).where("now * 4 <= was * 3").select("key")
+    return tried.join(better, "key").select("key", F.col("other").alias("hub"), "rep")
+
+
+def _candidates(ranked: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) to compare that the hubs leave over, and (hub, rep) for another round."""
+    first = ranked.withColumns({"probe": F.expr("not near and rank <= probe_length"), "index": F.expr("rank <= index_length"), "key": F.xxhash64("hub", "token")})
+    columns = ["key", "hub", "rep", "label", "far", "rank", "probe", "index", "index_length", "probe_length"]
+    rows = _mixed_groups(first.where("probe or index").select(columns))
+    spread = ranked.select("hub", "rep", F.col("token").alias("more"), F.col("rank").alias("place"))
+    pairs, k, hubs = None, 1, None
     while True:
-        pairs, large = _groups(rows)
-        pairs = materialize(pairs, "pairs")
-        near = _with(_with(pairs, "a", reps, "rep", n="na", sketch="ska"), "b", reps, "rep", n="nb", sketch="skb")
-        near = materialize(_near_by_sketch(near, num, den), "near")
-        if sets is None:  # later rounds have no other classes than these
-            wanted = near.select("a").union(near.select("b")).union(large.select("rep")).union(large.select("hub")).distinct()
-            texts = docs.join(wanted.withColumnRenamed("a", "doc_id"), "doc_id", "left_semi")
-            sets = materialize(_sets(texts, size), "sets")
-        linked = _with(_with(near, "a", sets, "rep", elems="ea"), "b", sets, "rep", elems="eb").withColumn("same", F.size(F.array_intersect("ea", "eb")))
-        linked = materialize(linked.where(f"same * {den} >= (size(ea) + size(eb) - same) * {num}").select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-        found = linked if found is None else found.union(linked)
+        bound = SMALL if k == 1 else SMALL_SPREAD
+        small, large = rows.where(F.col("size") <= bound), rows.where(F.col("size") > bound)
+        found = _crossed(small, small)
+        # index rows that cannot promise one more common difference are compared now
+        found = found.union(_crossed(large, large.where(f"far - index_length + 1 <= {k}")))
+        pairs = found if pairs is None else pairs.union(found)
+        if hubs is None:
+            better = materialize(_better_hubs(large, sets), "better")
+            hubs = better.select("hub", "rep").distinct()
+            large = large.join(better.select("key").distinct(), "key", "left_anti")
         if large.isEmpty():
-            return components(found)
-        component = components(found)
-        # groups whose members, but for the hub, are of more than one component
-        labelled = large.join(component.withColumnRenamed("u", "rep"), "rep", "left").withColumn("v", F.coalesce("v", "rep"))
-        whole = labelled.groupBy("key").agg(F.min("v").alias("least"), F.max("v").alias("most"))
-        open_rows = materialize(labelled.join(whole.where("least != most").select("key"), "key", "left_semi").select("hub", "rep").distinct(), "open")
-        if open_rows.isEmpty():
-            return component
-        rows = _apart(open_rows, sets, num, den)
-
-
-def _apart(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(key, rep): the rarest differences of each class from its hub, as many as similar classes may differ in plus one."""
-    both = _with(_with(rows, "rep", sets, "rep", elems="er"), "hub", sets, "rep", elems="eh")
-    # a partner's size is den / num times its own at most
-    reach = F.expr(f"({den - num} * (size(er) + size(er) * {den} div {num})) div {den + num} + 1")
-    tokens = materialize(both.select("hub", "rep", reach.alias("reach"), F.explode(F.concat(F.array_except("er", "eh"), F.array_except("eh", "er"))).alias("token")), "apart")
-    counts = tokens.groupBy("hub", "token").agg(F.countDistinct("rep").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("hub", "rep").orderBy("n", "token"))
-    rare = tokens.join(counts, ["hub", "token"]).withColumn("at", rank).where("at <= reach and n > 1")
-    return materialize(rare.select(F.xxhash64("hub", "token").alias("key"), "rep").distinct(), "keys")
+            return pairs.distinct(), hubs
+        more = large.drop("size").join(spread, ["hub", "rep"]).where("place > rank")
+        more = more.withColumns({
+            "probe": F.expr(f"probe and place <= probe_length + {k}"),
+            "index": F.expr(f"index and place <= index_length + {k} and far - index_length + 1 > {k}"),
+            "key": F.xxhash64("key", "more"),
+            "rank": F.col("place"),
+        }).where("probe or index")
+        rows = _mixed_groups(more.select(columns))
+        k += 1
+
+
+def links(docs: DataFrame, reps: DataFrame, rows: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """(u, v): the smallest class v of the component of each class u, from (key, rep) rows; docs: (doc_id, text)."""
+    pairs, hubs = _first_groups(rows)
+    near, hubs = _near(pairs, reps, num, den), materialize(hubs, "hubs")
+    # later rounds have no other classes than these
+    wanted = near.select("a").union(near.select("b")).union(hubs.select("rep")).union(hubs.select("hub")).distinct()
+    sets = materialize(_sets(docs.join(wanted.withColumnRenamed("a", "doc_id"), "doc_id", "left_semi"), size), "sets")
+    found = _similar(near, sets, num, den)
+    while not hubs.isEmpty():
+        apart = _apart(hubs, sets, num, den)
+        found = components(found.union(apart.where("near").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()))
+        ranked = _ranked(apart, found)
+        discard(apart)
+        pairs, hubs = _candidates(ranked, sets)
+        found = found.union(_similar(_near(pairs, reps, num, den), sets, num, den))
+        hubs = materialize(hubs, "hubs")
+    return components(found)
 
 
 def similar_documents(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,8 +285,9 @@ def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -
 
     Of rows that repeat that doc_id one stays.
     """
-    found = similar_documents(docs, size, num, den)
-    keep = found.where("component_id is null or doc_id = component_id").select("doc_id").distinct()
-    empty = docs.where("doc_id is null")
-    own = docs.join(keep, "doc_id", "left_semi")
-    return own.dropDuplicates(["doc_id"]).unionByName(empty)
+    found = materialize(similar_documents(docs, size, num, den), "similar")
+    gone = found.where("doc_id != component_id").select("doc_id").distinct()
+    out = docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return out
+    return out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))

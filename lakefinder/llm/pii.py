@@ -18,7 +18,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 ROUNDS = 8
 
@@ -233,7 +233,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", back: bool
     A secret with a single valid value of its kind stays as it is.
     """
     kept = [f for f in docs.schema if f.name not in (text_col, "private")]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{text_col}` string", "private array<struct<kind:string,first:int,end:int>>"])
+    schema = T.StructType([*kept, *T.StructType.fromDDL(", ".join([f"`{text_col}` string", "private array<struct<kind:string,first:int,end:int>>"]))])
     shared = docs.sparkSession.sparkContext.broadcast((key, back))
     span = pa.list_(pa.struct([("kind", pa.string()), ("first", pa.int32()), ("end", pa.int32())]))
 

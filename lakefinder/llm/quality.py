@@ -131,13 +131,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str =
     return fit(*linear.sample_matrix(rows, features, BITS, cased=True))
 
 
-def quality_scores(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` without its text, with ``score`` (0 to 1; higher: likelier of quality).
+def quality_scores(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score", keep_text: bool = False) -> DataFrame:
+    """``docs`` (without its text, unless that is to be kept) with ``out`` (0 to 1; higher: likelier of quality).
 
     Null and empty texts have no features but their length; they are scored by that.  A
-    column named score is replaced; ids, null or repeated, are not looked at.
+    column of that name is replaced; ids, null or repeated, are not looked at.
     """
-    return linear.score(docs, features, BITS, True, model, text_col)
+    return linear.score(docs, features, BITS, True, model, text_col, out, keep_text)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -99,13 +99,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str =
     return fit(*linear.sample_matrix(rows, features, BITS, cased=False))
 
 
-def toxicity_scores(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` without its text, with ``score`` (0 to 1; higher: likelier toxic).
+def toxicity_scores(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score", keep_text: bool = False) -> DataFrame:
+    """``docs`` (without its text, unless that is to be kept) with ``out`` (0 to 1; higher: likelier toxic).
 
     Null and empty texts have no features and get the model's bias as score.  A column
-    named score is replaced; ids, null or repeated, are not looked at.
+    of that name is replaced; ids, null or repeated, are not looked at.
     """
-    return linear.score(docs, features, BITS, False, model, text_col)
+    return linear.score(docs, features, BITS, False, model, text_col, out, keep_text)
 
 
 def held_out(doc_id: Column) -> Column:
