@@ -38,8 +38,8 @@ from lakefinder.scratch import discard, materialize
 
 #: All pairs of a group of up to so many classes are compared at once.
 SMALL = 8
-#: The same for groups that share two differences from a hub or more.
-SMALL_SPREAD = 40
+#: The same for groups that share k differences from a hub: k times so many.
+SMALL_SHARED = 24
 
 
 def _classes(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -112,18 +112,23 @@ def _with(pairs: DataFrame, col: str, other: DataFrame, key: str, **names: str)
 
 
 def _first_groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (key, rep) rows: the pairs (a, b) of small groups, and (hub, rep) of large ones."""
+    """From (key, rep) rows: the pairs (a, b) of small groups, and (hub, rep) of large ones.
+
+    The hub of a large group is the class that is in most large groups: near copies of a text
+    get the same hub in most of their groups, and one that is near to most of them.
+    """
     ranked = Window.partitionBy("key").orderBy("rep")
     rows = (
-        rows.withColumn("hub", F.first("rep").over(ranked))
-        .withColumn("size", F.count("*").over(Window.partitionBy("key")))
+        rows.withColumn("size", F.count("*").over(Window.partitionBy("key")))
         .where("size > 1")
         .withColumn("before", F.when(F.col("size") <= SMALL, F.collect_list("rep").over(ranked.rowsBetween(-(SMALL - 1), -1))))
-        .where("rep != hub")
     )
-    rows = materialize(rows.select("rep", "hub", "before"), "groups")
-    pairs = rows.where("before is not null").select(F.explode("before").alias("a"), F.col("rep").alias("b")).distinct()
-    return pairs, rows.where("before is null").select("hub", "rep").distinct()
+    rows = materialize(rows.select("key", "rep", "before"), "groups")
+    pairs = rows.where("size(before) > 0").select(F.explode("before").alias("a"), F.col("rep").alias("b")).distinct()
+    large = rows.where("before is null").select("key", "rep")
+    known = large.join(large.groupBy("rep").agg(F.count("*").alias("groups")), "rep")
+    hub = known.groupBy("key").agg(F.max(F.struct("groups", (-F.col("rep")).alias("neg"))).alias("best")).select("key", (-F.col("best.neg")).alias("hub"))
+    return pairs, large.join(hub, "key").where("rep != hub").select("hub", "rep").distinct()
 
 
 def _near(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
@@ -138,8 +143,8 @@ def _similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return materialize(both.where(f"same * {den} >= (size(ea) + size(eb) - same) * {num}").select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
 
 
-def _apart(hubs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(hub, rep, near, far, index_length, probe_length, token): the differences of each class from its hub."""
+def _apart(hubs: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(hub, rep, near, far, index_length, probe_length) and (hub, rep, token): each class's differences from its hub."""
     both = _with(_with(hubs, "rep", sets, "rep", elems="er"), "hub", sets, "rep", elems="eh")
     both = both.withColumn("diff", F.concat(F.array_except("er", "eh"), F.array_except("eh", "er"))).withColumn("far", F.size("diff"))
     c = f"cast({den - num} as long)"
@@ -149,22 +154,24 @@ def _apart(hubs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
         F.expr(f"far - (far - ceil({c} * greatest(0, size(er) - size(eh)) / {den + num})) div 2").alias("index_length"),
         # a partner's size is den / num times its own at most
         F.expr(f"{c} * (size(er) + size(er) * cast({den} as long) div {num}) div {den + num} + 1").alias("probe_length"),
-    ).withColumn("probe_length", F.least("probe_length", "far"))
-    return materialize(both.select("hub", "rep", "near", "far", "index_length", "probe_length", F.explode("diff").alias("token")), "apart")
+    )
+    both = materialize(both, "apart")
+    return both.drop("diff"), both.select("hub", "rep", F.explode("diff").alias("token"))
 
 
-def _ranked(apart: DataFrame, label: DataFrame) -> DataFrame:
+def _ranked(heads: DataFrame, tokens: DataFrame, label: DataFrame) -> DataFrame:
     """The differences that two classes or more of a hub share, ranked by rarity, with the classes' components.
 
-    Only of hubs whose classes are of more than one component.
+    Only of hubs whose classes are of more than one component.  Those that one class has
+    alone come first in rank, so the others begin after them.
     """
-    reps = apart.select("hub", "rep").distinct().join(label.select(F.col("u").alias("rep"), "v"), "rep", "left").withColumn("label", F.coalesce("v", "rep")).drop("v")
-    mixed = reps.groupBy("hub").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("hub")
-    reps = reps.join(mixed, "hub")
-    counts = apart.groupBy("hub", "token").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("hub", "rep").orderBy("n", "token"))
-    rows = apart.join(reps, ["hub", "rep"]).join(counts, ["hub", "token"]).withColumn("rank", rank)
-    return materialize(rows.where("n > 1").drop("n"), "ranked")
+    heads = heads.join(label.select(F.col("u").alias("rep"), "v"), "rep", "left").withColumn("label", F.coalesce("v", "rep")).drop("v")
+    mixed = heads.groupBy("hub").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("hub")
+    tokens = tokens.join(mixed, "hub", "left_semi")
+    shared = tokens.join(tokens.groupBy("hub", "token").agg(F.count("*").alias("n")).where("n > 1"), ["hub", "token"])
+    own = Window.partitionBy("hub", "rep")
+    shared = shared.withColumn("at", F.row_number().over(own.orderBy("n", "token"))).withColumn("n_shared", F.count("*").over(own))
+    return materialize(shared.join(heads, ["hub", "rep"]).withColumn("rank", F.col("far") - F.col("n_shared") + F.col("at")).drop("n", "at", "n_shared"), "ranked")
 
 
 def _mixed_groups(rows: DataFrame) -> DataFrame:
@@ -174,10 +181,13 @@ def _mixed_groups(rows: DataFrame) -> DataFrame:
 
 
 def _crossed(rows: DataFrame, partners: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a probe and an index row (of ``partners``) of one key and two components."""
-    probe = rows.where("probe").select("key", F.col("rep").alias("x"), F.col("label").alias("lx"))
-    index = partners.where("index").select("key", F.col("rep").alias("y"), F.col("label").alias("ly"))
-    return probe.join(index, "key").where("lx != ly").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    """Pairs (a, b) of a probe and an index row (of ``partners``) of one key and two components.
+
+    The sizes of two differences differ by less than the probe's length, or the sets are not similar.
+    """
+    probe = rows.where("probe").select("key", F.col("rep").alias("x"), F.col("label").alias("lx"), F.col("far").alias("fx"), "probe_length")
+    index = partners.where("index").select("key", F.col("rep").alias("y"), F.col("label").alias("ly"), F.col("far").alias("fy"))
+    return probe.join(index, "key").where("lx != ly and abs(fx - fy) < probe_length").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def _better_hubs(large: DataFrame, sets: DataFrame) -> DataFrame:
@@ -199,18 +209,18 @@ def _candidates(ranked: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFram
     spread = ranked.select("hub", "rep", F.col("token").alias("more"), F.col("rank").alias("place"))
     pairs, k, hubs = None, 1, None
     while True:
-        bound = SMALL if k == 1 else SMALL_SPREAD
+        bound = SMALL_SHARED * k
         small, large = rows.where(F.col("size") <= bound), rows.where(F.col("size") > bound)
         found = _crossed(small, small)
         # index rows that cannot promise one more common difference are compared now
         found = found.union(_crossed(large, large.where(f"far - index_length + 1 <= {k}")))
         pairs = found if pairs is None else pairs.union(found)
+        if large.isEmpty():
+            return pairs.distinct(), ranked.select("hub", "rep").limit(0) if hubs is None else hubs
         if hubs is None:
             better = materialize(_better_hubs(large, sets), "better")
             hubs = better.select("hub", "rep").distinct()
             large = large.join(better.select("key").distinct(), "key", "left_anti")
-        if large.isEmpty():
-            return pairs.distinct(), hubs
         more = large.drop("size").join(spread, ["hub", "rep"]).where("place > rank")
         more = more.withColumns({
             "probe": F.expr(f"probe and place <= probe_length + {k}"),
@@ -231,10 +241,9 @@ def links(docs: DataFrame, reps: DataFrame, rows: DataFrame, size: int, num: int
     sets = materialize(_sets(docs.join(wanted.withColumnRenamed("a", "doc_id"), "doc_id", "left_semi"), size), "sets")
     found = _similar(near, sets, num, den)
     while not hubs.isEmpty():
-        apart = _apart(hubs, sets, num, den)
-        found = components(found.union(apart.where("near").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()))
-        ranked = _ranked(apart, found)
-        discard(apart)
+        heads, tokens = _apart(hubs, sets, num, den)
+        found = components(found.union(heads.where("near").select(F.col("rep").alias("u"), F.col("hub").alias("v"))))
+        ranked = _ranked(heads, tokens, found)
         pairs, hubs = _candidates(ranked, sets)
         found = found.union(_similar(_near(pairs, reps, num, den), sets, num, den))
         hubs = materialize(hubs, "hubs")
