@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
 from typing import Protocol
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -17,11 +20,20 @@ def digest_vector(text: Column) -> Column:
 
 def gram_vector(text: Column, dim: int = 384, n: int = 3) -> Column:
     """Counts of hashed character n-grams: texts that share n-grams are near; a blank text is a zero vector."""
-    padded = F.concat(F.lit(" "), F.lower(F.trim(text)), F.lit(" "))
-    count = F.greatest(F.char_length(padded) - (n - 1), F.lit(0))
-    grams = F.when((F.trim(text) != "") & (count > 0), F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.pmod(F.xxhash64(F.substring(padded, i, F.lit(n))), F.lit(dim)).cast("int")))
-    sparse = F.coalesce(grams, F.array().cast("array<int>"))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.size(F.filter(sparse, lambda g: g == d)).cast("double"))
+
+    @F.pandas_udf("array<double>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            v = np.zeros(dim)
+            if t and t.strip():
+                t = f" {t.strip().lower()} "
+                at = [zlib.crc32(t[i : i + n].encode()) % dim for i in range(max(1, len(t) - n + 1))]
+                np.add.at(v, at, 1.0)
+            out.append(v)
+        return pd.Series(out)
+
+    return vectors(text)
 
 
 class EmbeddingProvider(Protocol):

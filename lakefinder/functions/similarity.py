@@ -74,10 +74,8 @@ def table_name(a: Column, b: Column) -> Column:
 def stripped(column: Column) -> Column:
     """A column's name without what marks keys."""
     out = F.lower(column)
-    for p in ("fk_", "pk_", "idx_"):
-        out = F.when(out.startswith(p), F.substring(out, len(p) + 1, 1 << 20)).otherwise(out)
-    for s in ("_id", "_key", "_code", "_no"):
-        out = F.when(out.endswith(s), F.substring(out, F.lit(1), F.char_length(out) - len(s))).otherwise(out)
+    for part in ("^fk_", "^pk_", "^idx_", "_id$", "_key$", "_code$", "_no$"):
+        out = F.regexp_replace(out, part, "")
     return out
 
 
