@@ -7,7 +7,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 def digest_vector(text: Column) -> Column:
@@ -21,7 +21,7 @@ def digest_vector(text: Column) -> Column:
 def gram_vector(text: Column, dim: int = 384, n: int = 3) -> Column:
     """Counts of hashed character n-grams: texts that share n-grams are near; a blank text is a zero vector."""
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def vectors(texts: pd.Series) -> pd.Series:
         out = []
         for t in texts:

@@ -8,7 +8,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from lakefinder.functions import features as X, normalize as N
 
@@ -31,7 +31,7 @@ def levenshtein(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), F.lit(0.0)).otherwise(1 - F.levenshtein(a, b) / F.greatest(F.char_length(a), F.char_length(b)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of lower-cased names; apply it to distinct pairs only."""
     made: dict[tuple[str, str], float] = {}
