@@ -217,7 +217,7 @@ SQL = {
     SELECT table_name, column_name, n_values, n_hit, round(n_hit / n_values, 9) AS score, array_to_string(m, '|') AS matched_values FROM h WHERE n_hit > 0 ORDER BY n_hit / n_values DESC, table_name, column_name LIMIT 10""",
     "index_statistics": with_(VALUES) + "SELECT (SELECT count(*) FROM (SELECT DISTINCT table_name, column_name FROM lv)) AS n_columns, (SELECT round(avg(n), 6) FROM (SELECT count(*) AS n FROM lv GROUP BY table_name, column_name)) AS values_per_column, (SELECT count(DISTINCT value) FROM lv) AS n_values",
     "posting_histogram": with_(VALUES) + "SELECT n_columns, count(*) AS n_values FROM (SELECT value, count(*) AS n_columns FROM lv GROUP BY 1) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
-    "catalog": with_(LAKE) + "SELECT * REPLACE (array_to_string(sample_values, '|') AS sample_values) FROM lc",
+    "catalog": with_(LAKE) + "SELECT * REPLACE (array_to_string(sample_values, '|') AS sample_values, coalesce(unique_count, -1) AS unique_count) FROM lc",
     "index_check": with_(LAKE, VALUES) + "SELECT (SELECT count(DISTINCT table_name) FROM lc) AS n_tables, (SELECT count(*) FROM lc) AS n_listed, (SELECT count(*) FROM lc) AS n_columns, (SELECT count(*) FROM lv) AS n_values, (SELECT count(*) FROM (SELECT DISTINCT table_name, column_name FROM lv)) AS n_indexed, true AS complete",
     "table_features": with_(*CAT)
     + "SELECT table_name, row_count, column_count, domain, size_category, column_bucket, column_range, row_range, naming_pattern, array_to_string(type_counts, '|') AS type_counts, "
@@ -237,8 +237,8 @@ SQL = {
     "metadata_search": with_(*CAT, META) + "SELECT query_table, table_name, score, row_number() OVER (PARTITION BY query_table ORDER BY score DESC, table_name) AS rank FROM ms WHERE raw > 0 QUALIFY rank <= 5",
     "best_of_queries": with_(*CAT, META) + "SELECT table_name, max(score) AS score FROM (SELECT * FROM ms WHERE query_table IN ('orders', 'customer') AND score > 0.5 QUALIFY row_number() OVER (PARTITION BY query_table ORDER BY score DESC, table_name) <= 10) GROUP BY 1",
     "relaxed_filter": with_(*CAT, META)
-    + """, a AS (SELECT query_table, table_name, score, row_number() OVER (PARTITION BY query_table ORDER BY score DESC, table_name) AS at, count(*) FILTER (score > 0.6) OVER (PARTITION BY query_table) AS h FROM ms WHERE query_table <> table_name AND score > 0),
-    k AS (SELECT *, CASE WHEN score > 0.6 AND at <= 6 THEN 0 WHEN score <= 0.6 AND score > 0.3 AND at <= greatest(h, 3) THEN 1 WHEN at <= 9 THEN 2 END AS kind FROM a)
+    + """, a AS (SELECT query_table, table_name, score, row_number() OVER (PARTITION BY query_table ORDER BY score DESC, table_name) AS pos, count(*) FILTER (score > 0.6) OVER (PARTITION BY query_table) AS h FROM ms WHERE query_table <> table_name AND score > 0),
+    k AS (SELECT *, CASE WHEN score > 0.6 AND pos <= 6 THEN 0 WHEN score <= 0.6 AND score > 0.3 AND pos <= greatest(h, 3) THEN 1 WHEN pos <= 9 THEN 2 END AS kind FROM a)
     SELECT query_table, table_name, round(CASE kind WHEN 0 THEN score WHEN 1 THEN score * 0.8 ELSE score * 0.6 END, 9) AS score, kind FROM k WHERE kind IS NOT NULL""",
     "signature_search": with_(*CAT)
     + """, g AS (SELECT q.table_name AS query_table, t.table_name, list_distinct(list_concat(q.sig_types, t.sig_types)) AS ks, q.*, t.column_count AS tc, t.sig_types AS tt, t.schema_pattern AS tp, t.domain_keywords AS tw FROM lf q, lf t WHERE q.table_name <> t.table_name)
@@ -298,15 +298,15 @@ SQL = {
     "merged_hits": with_(LAKE, VALUES, PAIRS, BY_NAMES, OVERLAP, MERGED) + "SELECT query_table, query_column, table_name, column_name, round(confidence, 6) AS confidence, match_type FROM mg",
     "table_scores": with_(LAKE, VALUES, TABLES, PAIRS, BY_NAMES, OVERLAP, MERGED)
     + """, g AS (SELECT query_table, table_name, count(*) AS n, avg(confidence) AS c, count(DISTINCT query_column) AS d, least(20.0, 0.2 * count(*) FILTER (regexp_matches(lower(column_name), 'id|key|uuid|guid|primary|pk'))) AS k FROM mg GROUP BY ALL)
-    SELECT query_table, g.table_name, n AS n_matches, round(c, 5) AS avg_confidence, round(d / column_count, 5) AS coverage, round(k, 5) AS key_bonus, round(least(100.0, 100 * (0.4 * least(n / column_count, 1.0) + 0.4 * c + 0.2 * d / column_count) + k), 5) AS score FROM g JOIN lt ON lt.table_name = query_table""",
+    SELECT query_table, g.table_name, n AS n_matches, round(round(c, 9), 5) AS avg_confidence, round(round(d / column_count, 9), 5) AS coverage, round(round(k, 9), 5) AS key_bonus, round(round(least(100.0, 100 * (0.4 * least(n / column_count, 1.0) + 0.4 * c + 0.2 * d / column_count) + k), 6), 5) AS score FROM g JOIN lt ON lt.table_name = query_table""",
     "normalised_sums": with_(LAKE, PAIRS, BY_NAMES) + ", s AS (SELECT query_table, table_name, sum(score) AS t FROM bn WHERE score > 0.65 GROUP BY ALL) SELECT query_table, table_name, round(t / max(t) OVER (PARTITION BY query_table), 6) AS score FROM s",
     "pair_scores": with_(LAKE, TABLES, PAIRS, BY_NAMES)
     + """, g AS (SELECT query_table, table_name, avg(score) AS c, count(DISTINCT query_column) AS a, count(DISTINCT column_name) AS b, count(*) AS n_matches FROM bn WHERE score > 0.3 GROUP BY ALL),
     w AS (SELECT g.*, a / q.column_count AS s, b / t.column_count AS u, least(q.column_count, t.column_count) / greatest(q.column_count, t.column_count) AS r FROM g JOIN lt q ON q.table_name = query_table JOIN lt t ON t.table_name = g.table_name)
-    SELECT query_table, table_name, n_matches, round(100 * least(0.4 * c + 0.3 * greatest(s, u) + 0.2 * least(s, u) + 0.1 * r, 1.0), 5) AS score FROM w""",
+    SELECT query_table, table_name, n_matches, round(round(100 * least(0.4 * c + 0.3 * greatest(s, u) + 0.2 * least(s, u) + 0.1 * r, 1.0), 6), 5) AS score FROM w""",
     "best_pairs": with_(LAKE, TABLES, PAIRS, BY_NAMES)
     + """, o AS (SELECT * FROM bn WHERE score > 0.5 QUALIFY row_number() OVER (PARTITION BY query_table, table_name, query_column ORDER BY score DESC, column_name) = 1), g AS (SELECT query_table, table_name, avg(score) AS c, count(*) AS n FROM o GROUP BY ALL)
-    SELECT query_table, g.table_name, n AS n_matches, round(c * n / column_count * 100, 5) AS score, round(c, 5) AS similarity, round(n / column_count, 5) AS match_ratio FROM g JOIN lt ON lt.table_name = query_table""",
+    SELECT query_table, g.table_name, n AS n_matches, round(round(c * n / column_count * 100, 6), 5) AS score, round(round(c, 9), 5) AS similarity, round(round(n / column_count, 9), 5) AS match_ratio FROM g JOIN lt ON lt.table_name = query_table""",
     "greedy_matching": with_(LAKE, PAIRS, BY_NAMES) + "SELECT * FROM bn WHERE score > 0.5 QUALIFY row_number() OVER (PARTITION BY query_table, table_name, query_column ORDER BY score DESC, column_name) = 1",
     "query_analysis": f"""WITH q(query_id, text, n_tables, n_columns) AS (VALUES {_questions()}), a AS (SELECT *, list_sort(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z]+')), lambda x: length(x) > 2 AND NOT list_contains({WORDS}, x))) AS w FROM q),
     b AS (SELECT *, {_hits(routing.DOMAINS)} AS dm, {_hits(routing.TYPES)} AS ty, {_INTENT} AS intent FROM a),

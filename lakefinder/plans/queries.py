@@ -59,7 +59,7 @@ def q_posting_histogram(spark, sf_dir):
 
 
 def q_catalog(spark, sf_dir):
-    return lake(spark, sf_dir).columns.withColumn("sample_values", F.array_join("sample_values", "|"))
+    return lake(spark, sf_dir).columns.withColumn("sample_values", F.array_join("sample_values", "|")).withColumn("unique_count", F.coalesce("unique_count", F.lit(-1)))
 
 
 def q_index_check(spark, sf_dir):
