@@ -14,7 +14,10 @@
    rarity, they share one of the rarest half or so of D(x) and one of the c (|x| + |y|) + 1
    rarest of D(y).  Those are the next groups' keys, of members that no link joins yet.
    What near copies have in common is not among the differences, and their own edits are
-   rare: a group of thousands falls apart.
+   rare: a group of thousands falls apart.  Of the first groups only classes with half of
+   their shingles in common with the hub go this way.  A class that is farther from a hub of
+   its own is compared as if its hub were the empty set, all its shingles being differences:
+   with every class of a large group that has one of its rarest shingles.
 5. Where such a group is still large, it is tried whether the class nearest to the hub makes
    a better hub for it (it does for copies of an edited copy); if so, the group goes on with
    that hub from step 4.  If not, its members are spread by their second common difference,
@@ -38,7 +41,9 @@ from lakefinder.scratch import discard, materialize
 
 #: All pairs of a group of up to so many classes are compared at once.
 SMALL = 8
-#: The same for groups that share k differences from a hub: k times so many.
+#: Common differences with which classes far from their hubs are spread, at most; then they are compared.
+SPREAD = 12
+#: As SMALL, for groups that share k differences from a hub: k times so many.
 SMALL_SHARED = 24
 
 
@@ -144,7 +149,10 @@ def _similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 
 def _apart(hubs: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(hub, rep, near, far, index_length, probe_length) and (hub, rep, token): each class's differences from its hub."""
+    """(hub, rep, near, far, index_length, probe_length, reach, most) and (hub, rep, token): each class's differences from its hub.
+
+    reach: by how much the sizes of two differences may differ; most: how many common ones are guaranteed.
+    """
     both = _with(_with(hubs, "rep", sets, "rep", elems="er"), "hub", sets, "rep", elems="eh")
     both = both.withColumn("diff", F.concat(F.array_except("er", "eh"), F.array_except("eh", "er"))).withColumn("far", F.size("diff"))
     c = f"cast({den - num} as long)"
@@ -155,7 +163,7 @@ def _apart(hubs: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFr
         # a partner's size is den / num times its own at most
         F.expr(f"{c} * (size(er) + size(er) * cast({den} as long) div {num}) div {den + num} + 1").alias("probe_length"),
     )
-    both = materialize(both, "apart")
+    both = materialize(both.withColumn("reach", F.col("probe_length") - 1).withColumn("most", F.expr("far - index_length + 1")), "apart")
     return both.drop("diff"), both.select("hub", "rep", F.explode("diff").alias("token"))
 
 
@@ -171,7 +179,41 @@ def _ranked(heads: DataFrame, tokens: DataFrame, label: DataFrame) -> DataFrame:
     shared = tokens.join(tokens.groupBy("hub", "token").agg(F.count("*").alias("n")).where("n > 1"), ["hub", "token"])
     own = Window.partitionBy("hub", "rep")
     shared = shared.withColumn("at", F.row_number().over(own.orderBy("n", "token"))).withColumn("n_shared", F.count("*").over(own))
-    return materialize(shared.join(heads, ["hub", "rep"]).withColumn("rank", F.col("far") - F.col("n_shared") + F.col("at")).drop("n", "at", "n_shared"), "ranked")
+    return shared.join(heads, ["hub", "rep"]).withColumn("rank", F.col("far") - F.col("n_shared") + F.col("at")).drop("n", "at", "n_shared")
+
+
+def _own(classes: DataFrame, far: DataFrame, sets: DataFrame, label: DataFrame, num: int, den: int) -> DataFrame:
+    """As ``_ranked`` with the empty set as hub: the rarest shingles of ``classes``; those in ``far`` are stray, the others near.
+
+    Similar sets share num / den of the larger one's shingles, so one of the rarest
+    n - ceil(num / den n) + 1 of both.  Shingles are counted where they are dealt out by hash, and
+    those that one class has alone go no farther.
+    """
+    tokens = sets.join(classes, "rep").select("rep", F.size("elems").alias("far"), F.explode("elems").alias("token"))
+    shared = tokens.withColumn("n", F.count("*").over(Window.partitionBy("token"))).where("n > 1")
+    own = Window.partitionBy("rep")
+    shared = shared.withColumn("at", F.row_number().over(own.orderBy("n", "token"))).withColumn("rank", F.col("far") - F.count("*").over(own) + F.col("at"))
+    shared = shared.withColumn("index_length", F.expr(f"far - (far * cast({num} as long) + {den - 1}) div {den} + 1")).where(F.col("rank") < F.col("index_length") + SPREAD)
+    marked = shared.join(far.withColumn("is_far", F.lit(True)), "rep", "left").join(label.select(F.col("u").alias("rep"), "v"), "rep", "left")
+    return marked.select(
+        F.lit(-(1 << 63)).cast("long").alias("hub"),
+        "rep",
+        "token",
+        F.col("is_far").isNull().alias("near"),
+        "far",
+        "index_length",
+        F.col("index_length").alias("probe_length"),
+        F.expr(f"far * cast({den - num} as long) div {num}").alias("reach"),
+        F.least(F.col("far") - F.col("index_length") + 1, F.lit(SPREAD)).alias("most"),
+        F.coalesce("v", "rep").alias("label"),
+        "rank",
+    )
+
+
+def _far(hubs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(hub, rep, far) of large groups: whether a class shares less than half of its shingles with its hub."""
+    both = _with(_with(hubs, "rep", sets, "rep", elems="er"), "hub", sets, "rep", elems="eh")
+    return materialize(both.select("hub", "rep", F.expr("2 * size(array_intersect(er, eh)) < greatest(size(er), size(eh))").alias("far")), "far")
 
 
 def _mixed_groups(rows: DataFrame) -> DataFrame:
@@ -183,11 +225,11 @@ def _mixed_groups(rows: DataFrame) -> DataFrame:
 def _crossed(rows: DataFrame, partners: DataFrame) -> DataFrame:
     """Pairs (a, b) of a probe and an index row (of ``partners``) of one key and two components.
 
-    The sizes of two differences differ by less than the probe's length, or the sets are not similar.
+    The sizes of two differences differ by the probe's reach at most, or the sets are not similar.
     """
-    probe = rows.where("probe").select("key", F.col("rep").alias("x"), F.col("label").alias("lx"), F.col("far").alias("fx"), "probe_length")
+    probe = rows.where("probe").select("key", F.col("rep").alias("x"), F.col("label").alias("lx"), F.col("far").alias("fx"), "reach")
     index = partners.where("index").select("key", F.col("rep").alias("y"), F.col("label").alias("ly"), F.col("far").alias("fy"))
-    return probe.join(index, "key").where("lx != ly and abs(fx - fy) < probe_length").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return probe.join(index, "key").where("lx != ly and abs(fx - fy) <= reach").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def _better_hubs(large: DataFrame, sets: DataFrame) -> DataFrame:
@@ -204,7 +246,7 @@ def _better_hubs(large: DataFrame, sets: DataFrame) -> DataFrame:
 def _candidates(ranked: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The pairs (a, b) to compare that the hubs leave over, and (hub, rep) for another round."""
     first = ranked.withColumns({"probe": F.expr("not near and rank <= probe_length"), "index": F.expr("rank <= index_length"), "key": F.xxhash64("hub", "token")})
-    columns = ["key", "hub", "rep", "label", "far", "rank", "probe", "index", "index_length", "probe_length"]
+    columns = ["key", "hub", "rep", "label", "far", "rank", "probe", "index", "index_length", "probe_length", "reach", "most"]
     rows = _mixed_groups(first.where("probe or index").select(columns))
     spread = ranked.select("hub", "rep", F.col("token").alias("more"), F.col("rank").alias("place"))
     pairs, k, hubs = None, 1, None
@@ -213,7 +255,7 @@ def _candidates(ranked: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFram
         small, large = rows.where(F.col("size") <= bound), rows.where(F.col("size") > bound)
         found = _crossed(small, small)
         # index rows that cannot promise one more common difference are compared now
-        found = found.union(_crossed(large, large.where(f"far - index_length + 1 <= {k}")))
+        found = found.union(_crossed(large, large.where(f"most <= {k}")))
         pairs = found if pairs is None else pairs.union(found)
         if large.isEmpty():
             return pairs.distinct(), ranked.select("hub", "rep").limit(0) if hubs is None else hubs
@@ -224,7 +266,7 @@ def _candidates(ranked: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFram
         more = large.drop("size").join(spread, ["hub", "rep"]).where("place > rank")
         more = more.withColumns({
             "probe": F.expr(f"probe and place <= probe_length + {k}"),
-            "index": F.expr(f"index and place <= index_length + {k} and far - index_length + 1 > {k}"),
+            "index": F.expr(f"index and place <= index_length + {k} and most > {k}"),
             "key": F.xxhash64("key", "more"),
             "rank": F.col("place"),
         }).where("probe or index")
@@ -240,10 +282,19 @@ def links(docs: DataFrame, reps: DataFrame, rows: DataFrame, size: int, num: int
     wanted = near.select("a").union(near.select("b")).union(hubs.select("rep")).union(hubs.select("hub")).distinct()
     sets = materialize(_sets(docs.join(wanted.withColumnRenamed("a", "doc_id"), "doc_id", "left_semi"), size), "sets")
     found = _similar(near, sets, num, den)
-    while not hubs.isEmpty():
+    first = _far(hubs, sets)
+    everyone = materialize(hubs.select("rep").union(hubs.select("hub")).distinct(), "everyone")
+    strays = materialize(first.where("far").select("rep").distinct(), "strays")
+    strays = None if strays.isEmpty() else strays
+    hubs = first if strays is None else first.where("not far")
+    while strays is not None or not hubs.isEmpty():
         heads, tokens = _apart(hubs, sets, num, den)
         found = components(found.union(heads.where("near").select(F.col("rep").alias("u"), F.col("hub").alias("v"))))
         ranked = _ranked(heads, tokens, found)
+        if strays is not None:
+            ranked = ranked.unionByName(_own(everyone, strays, sets, found, num, den))
+            strays = None
+        ranked = materialize(ranked, "ranked")
         pairs, hubs = _candidates(ranked, sets)
         found = found.union(_similar(_near(pairs, reps, num, den), sets, num, den))
         hubs = materialize(hubs, "hubs")
