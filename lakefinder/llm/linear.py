@@ -90,7 +90,7 @@ def sample_matrix(sample: DataFrame, features: Features, bits: int, cased: bool)
     if isinstance(lists, pa.ChunkedArray):
         lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
     offs = np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)))) if len(lists) else np.zeros(1, np.int64)
-    return offs, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), found.column(1).to_numpy().astype(np.int64)
+    return offs, lists.flatten().to_numpy(zero_copy_only=False), found.column(1).to_numpy().astype(np.int64)
 
 
 def some_rows(offs: np.ndarray, cols: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

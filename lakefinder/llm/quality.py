@@ -18,7 +18,7 @@ from lakefinder.llm import linear, words as W
 
 BITS = 18
 #: Labelled rows of each class on which the model is fitted, at most (about).
-SAMPLE = 6000
+SAMPLE = 4000
 _U = np.uint64
 
 #: Classes of bytes for word shapes: 0 lower case, 1 upper case, 2 digit, 3 beyond ASCII, 4 and up: other signs by themselves.

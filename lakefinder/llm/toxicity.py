@@ -17,7 +17,7 @@ from lakefinder.llm import linear, words as W
 
 BITS = 20
 #: Labelled rows of each class on which the model is fitted, at most (about).
-SAMPLE = 6000
+SAMPLE = 3000
 _U = np.uint64
 #: Lengths in bytes of the beginnings of words that count as stems.
 STEMS = (4, 5, 6)
@@ -38,7 +38,7 @@ def features(w: W.Words, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([p[0] for p in parts]), np.concatenate([linear.columns(h, kind, bits) for _, h, kind in parts])
 
 
-def ftrl(offs: np.ndarray, cols: np.ndarray, y: np.ndarray, bits: int, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.5, l2: float = 1.0, rounds: int = 3, seed: int = 1) -> tuple[np.ndarray, float]:
+def ftrl(offs: np.ndarray, cols: np.ndarray, y: np.ndarray, bits: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 3.0, l2: float = 1.0, rounds: int = 5, seed: int = 1) -> tuple[np.ndarray, float]:
     """Weights and bias after some rounds over the rows, each in another fixed order."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     bias, n_bias = 0.0, 0.0
