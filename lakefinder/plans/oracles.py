@@ -298,12 +298,12 @@ SQL = {
     "merged_hits": with_(LAKE, VALUES, PAIRS, BY_NAMES, OVERLAP, MERGED) + "SELECT query_table, query_column, table_name, column_name, round(confidence, 6) AS confidence, match_type FROM mg",
     "table_scores": with_(LAKE, VALUES, TABLES, PAIRS, BY_NAMES, OVERLAP, MERGED)
     + """, g AS (SELECT query_table, table_name, count(*) AS n, avg(confidence) AS c, count(DISTINCT query_column) AS d, least(20.0, 0.2 * count(*) FILTER (regexp_matches(lower(column_name), 'id|key|uuid|guid|primary|pk'))) AS k FROM mg GROUP BY ALL)
-    SELECT query_table, g.table_name, n AS n_matches, round(round(c, 9), 5) AS avg_confidence, round(round(d / column_count, 9), 5) AS coverage, round(round(k, 9), 5) AS key_bonus, round(round(least(100.0, 100 * (0.4 * least(n / column_count, 1.0) + 0.4 * c + 0.2 * d / column_count) + k), 6), 5) AS score FROM g JOIN lt ON lt.table_name = query_table""",
+    SELECT query_table, g.table_name, n AS n_matches, round(round(c, 9), 3) AS avg_confidence, round(round(d / column_count, 9), 3) AS coverage, round(round(k, 9), 3) AS key_bonus, round(round(least(100.0, 100 * (0.4 * least(n / column_count, 1.0) + 0.4 * c + 0.2 * d / column_count) + k), 6), 3) AS score FROM g JOIN lt ON lt.table_name = query_table""",
     "normalised_sums": with_(LAKE, PAIRS, BY_NAMES) + ", s AS (SELECT query_table, table_name, sum(score) AS t FROM bn WHERE score > 0.65 GROUP BY ALL) SELECT query_table, table_name, round(t / max(t) OVER (PARTITION BY query_table), 6) AS score FROM s",
     "pair_scores": with_(LAKE, TABLES, PAIRS, BY_NAMES)
     + """, g AS (SELECT query_table, table_name, avg(score) AS c, count(DISTINCT query_column) AS a, count(DISTINCT column_name) AS b, count(*) AS n_matches FROM bn WHERE score > 0.3 GROUP BY ALL),
     w AS (SELECT g.*, a / q.column_count AS s, b / t.column_count AS u, least(q.column_count, t.column_count) / greatest(q.column_count, t.column_count) AS r FROM g JOIN lt q ON q.table_name = query_table JOIN lt t ON t.table_name = g.table_name)
-    SELECT query_table, table_name, n_matches, round(round(100 * least(0.4 * c + 0.3 * greatest(s, u) + 0.2 * least(s, u) + 0.1 * r, 1.0), 6), 5) AS score FROM w""",
+    SELECT query_table, table_name, n_matches, round(round(100 * least(0.4 * c + 0.3 * greatest(s, u) + 0.2 * least(s, u) + 0.1 * r, 1.0), 6), 3) AS score FROM w""",
     "best_pairs": with_(LAKE, TABLES, PAIRS, BY_NAMES)
     + """, o AS (SELECT * FROM bn WHERE score > 0.5 QUALIFY row_number() OVER (PARTITION BY query_table, table_name, query_column ORDER BY score DESC, column_name) = 1), g AS (SELECT query_table, table_name, avg(score) AS c, count(*) AS n FROM o GROUP BY ALL)
     SELECT query_table, g.table_name, n AS n_matches, round(round(c * n / column_count * 100, 6), 5) AS score, round(round(c, 9), 5) AS similarity, round(round(n / column_count, 9), 5) AS match_ratio FROM g JOIN lt ON lt.table_name = query_table""",

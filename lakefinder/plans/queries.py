@@ -302,7 +302,7 @@ def q_table_scores(spark, sf_dir):
     hits = fusion.merge_hits(_semantic(spark, sf_dir), _by_value(spark, sf_dir))
     n = lake(spark, sf_dir).tables.select(F.col("table_name").alias("query_table"), F.col("column_count").alias("n_query"))
     out = fusion.score_tables(hits, n)
-    return out.select("query_table", "table_name", "n_matches", *(F.round(c, 5).alias(c) for c in ("avg_confidence", "coverage", "key_bonus", "score")))
+    return out.select("query_table", "table_name", "n_matches", *(F.round(c, 3).alias(c) for c in ("avg_confidence", "coverage", "key_bonus", "score")))
 
 
 def q_normalised_sums(spark, sf_dir):
@@ -310,7 +310,7 @@ def q_normalised_sums(spark, sf_dir):
 
 
 def q_pair_scores(spark, sf_dir):
-    return fusion.pair_score(P.by_names(_pairs(spark, sf_dir), 0.3), lake(spark, sf_dir).tables).withColumn("score", F.round("score", 5))
+    return fusion.pair_score(P.by_names(_pairs(spark, sf_dir), 0.3), lake(spark, sf_dir).tables).withColumn("score", F.round("score", 3))
 
 
 def q_best_pairs(spark, sf_dir):
