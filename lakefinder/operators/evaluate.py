@@ -87,6 +87,11 @@ def layer_metrics(inputs: DataFrame, outputs: DataFrame, truth: DataFrame, cuts:
     )
 
 
+def layer_means(layers: DataFrame) -> DataFrame:
+    """Means of layer metrics (with a ``layer`` column) for each layer and cut."""
+    return layers.groupBy("layer", "k").agg(F.count("*").alias("n_queries"), *(F.round(F.avg(m), 9).alias(m) for m in ("filter_ratio", "retention", "precision", "recall", "hit")))
+
+
 def truth_frequency(truth: DataFrame, k: int = 10) -> DataFrame:
     return truth.groupBy("query_table").agg(F.count("*").alias("n_matches")).orderBy(F.desc("n_matches"), "query_table").limit(k)
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from lakefinder.config import PRESETS, Config
-from lakefinder.functions import features as X
+from lakefinder.functions import features as X, similarity as S
 from lakefinder.functions.embedding import EmbeddingProvider, embed
 from lakefinder.operators import fusion, metadata, overlap, vectors
 from lakefinder.plans import columns as P, routing, verify
@@ -83,8 +83,6 @@ def funnel(lake: Lake, query_tables: DataFrame, config: Config = Config(), provi
     q = index.join(query_tables.select(F.col("table_name").alias("id")).distinct(), "id", "left_semi")
     # score the candidates alone: the restriction comes before the ranking
     both = few.select(F.col("query_table").alias("query_id"), F.col("table_name").alias("id")).join(index, "id").join(q.select(F.col("id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
-    from lakefinder.functions import similarity as S
-
     scored = both.select(F.col("query_id").alias("query_table"), F.col("id").alias("table_name"), F.round(S.cosine(F.col("q"), F.col("embedding")), 9).alias("score")).where(F.col("score") >= config.l2_threshold)
     second = overlap.top_k(scored, config.l2_top, ["query_table"], ["score"], ["table_name"])
     return {"metadata": first, "vectors": materialize(second, "layer2")}

@@ -288,6 +288,15 @@ SQL = {
     + """, tr AS (SELECT query_id, count(*) FILTER (same) AS nt FROM p GROUP BY 1 HAVING count(*) FILTER (same) > 0), o AS (SELECT query_id, count(*) AS n, sum(same::INT) AS kept FROM r GROUP BY 1)
     SELECT CAST(query_id AS VARCHAR) AS query_table, k, round(1 - any_value(n) / (SELECT count(*) FROM e), 6) AS filter_ratio, round(any_value(kept) / any_value(nt), 6) AS retention, round(sum(same::INT) FILTER (rank <= k) / k, 6) AS precision, round(sum(same::INT) FILTER (rank <= k) / any_value(nt), 6) AS recall, (sum(same::INT) FILTER (rank <= k) > 0)::INT AS hit
     FROM r JOIN tr USING (query_id) JOIN o USING (query_id), (VALUES (1), (3), (5), (10), (20)) c(k) WHERE n >= k GROUP BY query_id, k""",
+    "truth_frequency": "WITH "
+    + COS.removesuffix(", ")
+    + " SELECT CAST(query_id AS VARCHAR) AS query_table, count(*) AS n_matches FROM p WHERE same GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+    "two_level": "WITH "
+    + COS
+    + top("p", 30)
+    + ", f AS (SELECT * EXCLUDE (rank) FROM r QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, id) <= 3) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f QUALIFY rank <= 5",
+    "early_stop": with_(*CAT, META)
+    + ", a AS (SELECT *, row_number() OVER (PARTITION BY query_table ORDER BY score DESC, table_name) AS pos FROM ms WHERE query_table <> table_name AND score > 0) SELECT query_table, max(score) FILTER (pos = 1) > 0.7 AND coalesce(max(score) FILTER (pos = 2) > 0.6, false) AS stop FROM a GROUP BY 1",
     "digest_vectors": "WITH t(table_name) AS (VALUES " + ", ".join(f"('{t}')" for t in SCHEMA) + "), d AS (SELECT table_name, i, ('0x' || substr(md5(table_name), (i % 32 + 1)::BIGINT, 1))::INT AS h FROM t, generate_series(0, 95) s(i)) "
     "SELECT table_name, (4 * i + j)::INT AS dim, round(CASE j WHEN 0 THEN h / 15.0 - 0.5 ELSE (h * (CASE j WHEN 1 THEN 7 WHEN 2 THEN 13 ELSE 17 END)) % 16 / 15.0 - 0.5 END, 9) AS x FROM d, generate_series(0, 3) g(j)",
     "minhash": with_(LAKE, FEATS) + "SELECT id, place, x FROM sg",

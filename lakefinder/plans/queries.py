@@ -260,6 +260,22 @@ def q_layer_metrics(spark, sf_dir):
     return evaluate.layer_metrics(inputs, got, _label_truth(v)).select("query_table", "k", *(F.round(c, 6).alias(c) for c in ("filter_ratio", "retention", "precision", "recall")), "hit")
 
 
+def q_truth_frequency(spark, sf_dir):
+    return evaluate.truth_frequency(_label_truth(_vectors(spark, sf_dir)), 10)
+
+
+def q_two_level(spark, sf_dir):
+    """Three hits of each label at most, then the best five of each query."""
+    v = _vectors(spark, sf_dir)
+    hits = vectors.nearest(_asked(v), v, 30).drop("rank").join(v.select("id", F.col("label").alias("table_name")), "id")
+    return vectors.two_level(hits, 5, 3).select("query_id", "id", "rank")
+
+
+def q_early_stop(spark, sf_dir):
+    f = metadata.table_features(lake(spark, sf_dir).tables)
+    return fusion.early_stop(metadata.metadata_search(f, f, None, include_self=False), 0.7, 0.6)
+
+
 def q_digest_vectors(spark, sf_dir):
     t = lake(spark, sf_dir).tables
     return t.select("table_name", F.posexplode(E.digest_vector(F.col("table_name"))).alias("dim", "x")).withColumn("x", F.round("x", 9))

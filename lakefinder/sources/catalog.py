@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from lakefinder import schema as S
 from lakefinder.functions import normalize as N
@@ -47,7 +47,6 @@ def profile(table: DataFrame, name: str, n_samples: int = 5) -> DataFrame:
     value) pairs, which are pre-aggregated in every task, so neither a hot value nor a long
     column gathers in one place.  Columns that are not ``indexed`` have no distinct count.
     """
-    spark = table.sparkSession
     fields = table.schema.fields
     counts = table.agg(F.count("*").alias("n"), *(F.count(F.col(f"`{f.name}`")).alias(f"c{i}") for i, f in enumerate(fields)))
     rows = F.array(*(F.struct(F.lit(f.name).alias("column_name"), F.lit(i).alias("ordinal"), F.lit(type_name(f.dataType)).alias("data_type"), (F.col("n") - F.col(f"c{i}")).alias("null_count")) for i, f in enumerate(fields)))
@@ -58,7 +57,6 @@ def profile(table: DataFrame, name: str, n_samples: int = 5) -> DataFrame:
     pairs = distinct_values(table, own)
     unique = pairs.groupBy("column_name").agg(F.count("*").alias("unique_count"))
     ranked = first_values(pairs, n_samples)
-    del spark
     return (
         base.join(F.broadcast(unique), "column_name", "left")
         .join(F.broadcast(ranked), "column_name", "left")
@@ -80,11 +78,8 @@ def first_values(pairs: DataFrame, n: int) -> DataFrame:
     task only as n values of each bucket.
     """
     buckets = pairs.withColumn("bucket", F.pmod(F.xxhash64("raw"), F.lit(256)))
-    least = lambda rows, *keys: rows.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list("raw")), 1, n).alias("least"))
-    from pyspark.sql import Window
-
     few = buckets.withColumn("at", F.row_number().over(Window.partitionBy("column_name", "bucket").orderBy("raw"))).where(F.col("at") <= n)
-    return least(few, "column_name").withColumnRenamed("least", "sample_values")
+    return few.groupBy("column_name").agg(F.slice(F.array_sort(F.collect_list("raw")), 1, n).alias("sample_values"))
 
 
 def profile_lake(spark: SparkSession, paths: dict[str, str], n_samples: int = 5) -> Lake:
