@@ -46,3 +46,12 @@ def discard(df: DataFrame) -> None:
         spark = df.sparkSession
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the JVM look for plans that nobody holds any more: Spark then removes their shuffle files.
+
+    Otherwise these stay until the driver happens to collect its garbage, which a driver
+    with little to do may not for long.
+    """
+    spark.sparkContext._jvm.System.gc()
