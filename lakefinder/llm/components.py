@@ -7,6 +7,15 @@ from pyspark.sql import DataFrame, functions as F
 from lakefinder.scratch import discard, materialize
 
 
+#: Ids in one broadcast, at most.
+FEW = 1_000_000
+
+
+def if_few(ids: DataFrame) -> DataFrame:
+    """Rows of ids to be broadcast if they are ``FEW`` at most (they are counted), else to be joined by a shuffle."""
+    return F.broadcast(ids) if ids.limit(FEW + 1).count() <= FEW else ids
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("least")).withColumn("least", F.least("least", "u"))

@@ -114,7 +114,7 @@ def count_shingles(docs: DataFrame, text_col: str, shingles: dict[int, list[int]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), size, np.int32)), pa.array(looks[size].keys[some].view(np.int64)), pa.array(n[some])], ["size", "shingle", "n"])
 
     found = docs.select(text_col).mapInArrow(count, "size int, shingle long, n long").groupBy("size", "shingle").agg(F.sum("n").alias("n"))
-    return {(r.size, r.shingle & (2**64 - 1)): r.n for r in (x for x in found.toLocalIterator())}
+    return {(r.size, r.shingle & (2**64 - 1)): r.n for r in found.toLocalIterator()}
 
 
 def prefixes(win: Windows, frequency: dict[tuple[int, int], int]) -> dict[int, tuple[Lookup, np.ndarray, np.ndarray, np.ndarray]]:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lakefinder.llm.components import if_few
 from lakefinder.scratch import materialize
 
 #: White space that does not count; fixed by the contract.
@@ -81,7 +82,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     input row: doc_id, keep_id, group_size, kept, text_sha256, row_no (the row's number in
     the input).  An empty table gives an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
     rows = materialize(digests(docs, id_col, text_col), "digests")
     # the upper bits of row_no number the partition that made the row: its run
     rows = rows.withColumn("run", F.shiftright("row_no", 33))
@@ -106,7 +106,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that ``exact_dedup`` drops; all columns are kept as they are."""
-    spark = docs.sparkSession
     numbered = docs.withColumn("__row_no", F.monotonically_increasing_id())
-    gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col("row_no").alias("__row_no"))
-    return numbered.join(gone, "__row_no", "left_anti").drop("__row_no")
+    gone = materialize(exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col("row_no").alias("__row_no")), "gone")
+    return numbered.join(if_few(gone), "__row_no", "left_anti").drop("__row_no")

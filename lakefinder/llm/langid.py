@@ -28,7 +28,7 @@ BITS = 17
 #: Documents of each language on which the model is fitted, at most (about), and words of a window of each.
 SAMPLE, WINDOW = 1500, 48
 SEGMENT = 64
-PIECE = 1 << 19
+PIECE = 1 << 18
 _U = np.uint64
 
 #: Words are runs of ASCII letters and of what lies beyond ASCII.

@@ -14,10 +14,10 @@
    rarity, they share one of the rarest half or so of D(x) and one of the c (|x| + |y|) + 1
    rarest of D(y).  Those are the next groups' keys, of members that no link joins yet.
    What near copies have in common is not among the differences, and their own edits are
-   rare: a group of thousands falls apart.  Of the first groups only classes with half of
-   their shingles in common with the hub go this way.  A class that is farther from a hub of
-   its own is compared as if its hub were the empty set, all its shingles being differences:
-   with every class of a large group that has one of its rarest shingles.
+   rare: a group of thousands falls apart.  Of the first groups only classes that are nearly
+   similar to the hub, by the sketches, go this way.  A class that is farther from a hub of its
+   own (families of near classes share one hub) is compared as if its hub were the empty set, all its shingles being differences: with
+   every class of a large group that has one of its rarest shingles.
 5. Where such a group is still large, it is tried whether the class nearest to the hub makes
    a better hub for it (it does for copies of an edited copy); if so, the group goes on with
    that hub from step 4.  If not, its members are spread by their second common difference,
@@ -36,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lakefinder.llm import parity, words as W
-from lakefinder.llm.components import components
-from lakefinder.scratch import discard, materialize
+from lakefinder.llm.components import components, if_few
+from lakefinder.scratch import discard, free_shuffles, materialize
 
 #: All pairs of a group of up to so many classes are compared at once.
 SMALL = 8
@@ -189,8 +189,9 @@ def _own(classes: DataFrame, far: DataFrame, sets: DataFrame, label: DataFrame,
     n - ceil(num / den n) + 1 of both.  Shingles are counted where they are dealt out by hash, and
     those that one class has alone go no farther.
     """
-    tokens = sets.join(classes, "rep").select("rep", F.size("elems").alias("far"), F.explode("elems").alias("token"))
-    shared = tokens.withColumn("n", F.count("*").over(Window.partitionBy("token"))).where("n > 1")
+    some = sets.join(classes, "rep")
+    tokens = some.select("rep", F.explode("elems").alias("token"))
+    shared = tokens.withColumn("n", F.count("*").over(Window.partitionBy("token"))).where("n > 1").join(some.select("rep", F.size("elems").alias("far")), "rep")
     own = Window.partitionBy("rep")
     shared = shared.withColumn("at", F.row_number().over(own.orderBy("n", "token"))).withColumn("rank", F.col("far") - F.count("*").over(own) + F.col("at"))
     shared = shared.withColumn("index_length", F.expr(f"far - (far * cast({num} as long) + {den - 1}) div {den} + 1")).where(F.col("rank") < F.col("index_length") + SPREAD)
@@ -210,10 +211,14 @@ def _own(classes: DataFrame, far: DataFrame, sets: DataFrame, label: DataFrame,
     )
 
 
-def _far(hubs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(hub, rep, far) of large groups: whether a class shares less than half of its shingles with its hub."""
-    both = _with(_with(hubs, "rep", sets, "rep", elems="er"), "hub", sets, "rep", elems="eh")
-    return materialize(both.select("hub", "rep", F.expr("2 * size(array_intersect(er, eh)) < greatest(size(er), size(eh))").alias("far")), "far")
+def _not_far(hubs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """Those (hub, rep) of large groups whose sketches leave room for twice the dissimilarity of links.
+
+    It does not matter for the result where the line is drawn: a class beyond it is compared in
+    another way.
+    """
+    pairs = hubs.select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    return _near(pairs, reps, 2 * num - den, den).select(F.col("a").alias("hub"), F.col("b").alias("rep"))
 
 
 def _mixed_groups(rows: DataFrame) -> DataFrame:
@@ -271,22 +276,37 @@ def _candidates(ranked: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFram
             "rank": F.col("place"),
         }).where("probe or index")
         rows = _mixed_groups(more.select(columns))
+        free_shuffles(rows.sparkSession)
         k += 1
 
 
+def _families(hubs: DataFrame) -> DataFrame:
+    """(hub, rep) with one hub for all that hubs connect, that of most classes: each class then goes on once."""
+    edges = hubs.select(F.col("rep").alias("u"), F.col("hub").alias("v"))
+    family = materialize(components(edges), "families")
+    members = family.select("u", "v").union(family.select(F.col("v").alias("u"), "v").distinct())
+    degree = hubs.groupBy(F.col("hub").alias("u")).agg(F.count("*").alias("n"))
+    chosen = members.join(degree, "u").groupBy("v").agg(F.max(F.struct("n", (-F.col("u")).alias("neg"))).alias("best"))
+    return members.join(chosen.select("v", (-F.col("best.neg")).alias("hub")), "v").where("u != hub").select("hub", F.col("u").alias("rep"))
+
+
 def links(docs: DataFrame, reps: DataFrame, rows: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """(u, v): the smallest class v of the component of each class u, from (key, rep) rows; docs: (doc_id, text)."""
+    spark = docs.sparkSession
     pairs, hubs = _first_groups(rows)
     near, hubs = _near(pairs, reps, num, den), materialize(hubs, "hubs")
+    free_shuffles(spark)
     # later rounds have no other classes than these
     wanted = near.select("a").union(near.select("b")).union(hubs.select("rep")).union(hubs.select("hub")).distinct()
-    sets = materialize(_sets(docs.join(wanted.withColumnRenamed("a", "doc_id"), "doc_id", "left_semi"), size), "sets")
+    wanted = materialize(wanted.withColumnRenamed("a", "doc_id"), "wanted")
+    sets = materialize(_sets(docs.join(if_few(wanted), "doc_id", "left_semi"), size), "sets")
     found = _similar(near, sets, num, den)
-    first = _far(hubs, sets)
+    free_shuffles(spark)
+    first = _not_far(hubs, reps, num, den)
     everyone = materialize(hubs.select("rep").union(hubs.select("hub")).distinct(), "everyone")
-    strays = materialize(first.where("far").select("rep").distinct(), "strays")
+    strays = materialize(hubs.join(first, ["hub", "rep"], "left_anti").select("rep").distinct(), "strays")
     strays = None if strays.isEmpty() else strays
-    hubs = first if strays is None else first.where("not far")
+    hubs = materialize(_families(first), "hubs")
     while strays is not None or not hubs.isEmpty():
         heads, tokens = _apart(hubs, sets, num, den)
         found = components(found.union(heads.where("near").select(F.col("rep").alias("u"), F.col("hub").alias("v"))))
@@ -295,9 +315,11 @@ def links(docs: DataFrame, reps: DataFrame, rows: DataFrame, size: int, num: int
             ranked = ranked.unionByName(_own(everyone, strays, sets, found, num, den))
             strays = None
         ranked = materialize(ranked, "ranked")
+        free_shuffles(spark)
         pairs, hubs = _candidates(ranked, sets)
         found = found.union(_similar(_near(pairs, reps, num, den), sets, num, den))
-        hubs = materialize(hubs, "hubs")
+        hubs = materialize(_families(materialize(hubs, "hubs")), "hubs")
+        free_shuffles(spark)
     return components(found)
 
 
@@ -326,9 +348,11 @@ def similar_documents(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     by_doc = members.where("n > 0 and doc_id is not null").select("doc_id", "rep").distinct()
     grouped = _keys(rows, size, num, den).withColumn("hub", F.first("node").over(Window.partitionBy("key").orderBy("node"))).where("node != hub")
     grouped = materialize(grouped.select("key", "node", "hub"), "grouped")
+    free_shuffles(docs.sparkSession)
     nodes = grouped.select("key", "node").union(grouped.select("key", F.col("hub").alias("node"))).distinct()
     keyed = materialize(nodes.join(by_doc.withColumnRenamed("doc_id", "node"), "node").select("key", "rep").distinct(), "keyed")
     discard(grouped)
+    free_shuffles(docs.sparkSession)
     found = links(rows, reps.select("rep", "n", "sketch"), keyed, size, num, den)
     twice = by_doc.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("u")).where("u != v")
     if not twice.isEmpty():  # rows of one doc_id in several classes
@@ -347,7 +371,7 @@ def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -
     """
     found = materialize(similar_documents(docs, size, num, den), "similar")
     gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    out = docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    out = docs.join(if_few(gone), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return out
     return out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))

@@ -88,9 +88,9 @@ def keys(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray, num: int, den: int) -> bytes:
-    """A parity sketch of a power of two of bits, about four for each element in which similar sets may differ."""
+    """A parity sketch of a power of two of bits, about eight for each element in which similar sets may differ."""
     bits = 64
-    while bits < 4 * most_apart(len(shingles), len(shingles), num, den):
+    while bits < 8 * most_apart(len(shingles), len(shingles), num, den):
         bits *= 2
     n = np.bincount((shingles & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(n.astype(np.uint8)).tobytes()

@@ -7,7 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lakefinder.llm import bpe, decontaminate, dedup, langid, ngram_jaccard, pii, quality, sharding, token_counts, toxicity
 
 
+#: Rows of texts in one Arrow batch: texts can be long, and a Python worker holds a batch at a time.
+BATCH_ROWS = 2000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -23,7 +28,8 @@ def vocabulary() -> str:
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard.similar_documents(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
+    out = ngram_jaccard.similar_documents(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
+    return out.select("doc_id", "n_shingles", "component_id")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +82,36 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_quality, op3_pii, op4_exact_dedup, op5_decontamination, op6_toxicity, op7_bpe, op8_token_counts, op9_langid, op10_sharding)}
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
 ORACLE_SQL = {
+    "op1_ngram_jaccard": rf"""
+        WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+        shingles AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(generate_series(1, len(w) - 2), lambda k: array_to_string(list_slice(w, k, k + 2), ' ')) END) AS s
+            FROM words),
+        sizes AS (SELECT doc_id, count(s) AS n FROM words LEFT JOIN shingles USING (doc_id) GROUP BY doc_id),
+        common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i FROM shingles a JOIN shingles b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (SELECT u, v FROM common JOIN sizes a ON a.doc_id = u JOIN sizes b ON b.doc_id = v WHERE 100 * i >= 90 * (a.n + b.n - i)),
+        reach(doc_id, r) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT v, r FROM reach JOIN links ON u = reach.doc_id)
+        SELECT doc_id, any_value(n) AS n_shingles, min(r) AS component_id FROM reach JOIN sizes USING (doc_id) GROUP BY doc_id
+    """,
+    "op5_decontamination": rf"""
+        WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '{_WORDS}') AS w FROM benchmark),
+        windows AS (
+            SELECT DISTINCT item, n, array_to_string(list_slice(w, k, k + n - 1), ' ') AS s
+            FROM (SELECT item, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k FROM (SELECT *, least(10, len(w)) AS n FROM items) WHERE n > 0)),
+        words AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORDS}') AS w FROM documents),
+        places AS (SELECT doc_id, n, k, array_to_string(list_slice(w, k, k + n - 1), ' ') AS s
+            FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k FROM words, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
+        hits AS (SELECT doc_id, k, n, item FROM places JOIN windows USING (n, s)),
+        hit_words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(k, k + n - 1)) AS p FROM hits) GROUP BY 1),
+        found AS (SELECT doc_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS ids FROM hits GROUP BY 1)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM words LEFT JOIN hit_words USING (doc_id) LEFT JOIN found USING (doc_id)
+    """,
     "op4_exact_dedup": r"""
         WITH norm AS (
             SELECT doc_id, length(coalesce(text, '')) AS n_chars,
