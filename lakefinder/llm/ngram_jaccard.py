@@ -237,18 +237,27 @@ def _crossed(rows: DataFrame, partners: DataFrame) -> DataFrame:
     return probe.join(index, "key").where("lx != ly and abs(fx - fy) <= reach").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def _better_hubs(large: DataFrame, sets: DataFrame) -> DataFrame:
-    """(key, hub, rep) of the groups that lose a quarter of their differences with the class nearest to their hub as hub."""
+def _better_hubs(large: DataFrame, reps: DataFrame) -> DataFrame:
+    """(key, hub, rep) of the groups that lose a quarter of their differences with the class nearest to their hub as hub.
+
+    Sketches tell the differences well enough, as the choice makes no difference to the result.
+    """
     nearest = large.groupBy("key").agg(F.min(F.struct("far", "rep")).alias("best")).select("key", F.col("best.rep").alias("other"))
-    tried = large.select("key", "rep", "far").join(nearest, "key").where("rep != other")
-    both = _with(_with(tried.select("other", "rep").distinct(), "rep", sets, "rep", elems="er"), "other", sets, "rep", elems="eo")
-    now = both.select("other", "rep", F.expr("size(er) + size(eo) - 2 * size(array_intersect(er, eo))").alias("now"))
-    tried = materialize(tried.join(now, ["other", "rep"]), "tried")
+    tried = materialize(large.select("key", "rep", "far").join(nearest, "key").where("rep != other"), "tried")
+    both = _with(_with(tried.select("other", "rep").distinct(), "rep", reps, "rep", sketch="ska"), "other", reps, "rep", sketch="skb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            now = [parity.about_apart(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(now, pa.float64())], ["other", "rep", "now"])
+
+    now = both.select("other", "rep", "ska", "skb").mapInArrow(run, "other long, rep long, now double")
+    tried = tried.join(now, ["other", "rep"])
     better = tried.groupBy("key").agg(F.sum("far").alias("was"), F.sum("now").alias("now")).where("now * 4 <= was * 3").select("key")
     return tried.join(better, "key").select("key", F.col("other").alias("hub"), "rep")
 
 
-def _candidates(ranked: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _candidates(ranked: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The pairs (a, b) to compare that the hubs leave over, and (hub, rep) for another round."""
     first = ranked.withColumns({"probe": F.expr("not near and rank <= probe_length"), "index": F.expr("rank <= index_length"), "key": F.xxhash64("hub", "token")})
     columns = ["key", "hub", "rep", "label", "far", "rank", "probe", "index", "index_length", "probe_length", "reach", "most"]
@@ -265,7 +274,7 @@ def _candidates(ranked: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFram
         if large.isEmpty():
             return pairs.distinct(), ranked.select("hub", "rep").limit(0) if hubs is None else hubs
         if hubs is None:
-            better = materialize(_better_hubs(large, sets), "better")
+            better = materialize(_better_hubs(large, reps), "better")
             hubs = better.select("hub", "rep").distinct()
             large = large.join(better.select("key").distinct(), "key", "left_anti")
         more = large.drop("size").join(spread, ["hub", "rep"]).where("place > rank")
@@ -316,7 +325,7 @@ def links(docs: DataFrame, reps: DataFrame, rows: DataFrame, size: int, num: int
             strays = None
         ranked = materialize(ranked, "ranked")
         free_shuffles(spark)
-        pairs, hubs = _candidates(ranked, sets)
+        pairs, hubs = _candidates(ranked, reps)
         found = found.union(_similar(_near(pairs, reps, num, den), sets, num, den))
         hubs = materialize(_families(materialize(hubs, "hubs")), "hubs")
         free_shuffles(spark)

@@ -102,3 +102,9 @@ def hamming(a: bytes, b: bytes) -> int:
         a, b = b, a
     x = np.frombuffer(a, np.uint8).reshape(-1, len(b))
     return int(np.bitwise_count(np.bitwise_xor.reduce(x, axis=0) ^ np.frombuffer(b, np.uint8)).sum())
+
+
+def about_apart(a: bytes, b: bytes) -> float:
+    """The symmetric difference that the distance of two sketches lets one expect."""
+    bits = 8 * min(len(a), len(b))
+    return -bits / 2 * math.log(max(1 - 2 * hamming(a, b) / bits, 1 / bits))
