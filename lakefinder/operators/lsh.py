@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lakefinder.functions import similarity as S
 from lakefinder.operators.overlap import top_k
@@ -51,9 +51,38 @@ def candidates(queries: DataFrame, items: DataFrame, bands: int = 8, rows: int =
     return q.join(banded(items, bands, rows), ["band", "bucket"]).where("query_id != id").select("query_id", "id").distinct()
 
 
-def similar(queries: DataFrame, items: DataFrame, threshold: float = 0.5, k: int | None = 1000, bands: int = 8, rows: int = 2) -> DataFrame:
-    """Candidates whose true Jaccard similarity is ``threshold`` or more, best first; rows: (id, features, signature)."""
-    found = candidates(queries, items, bands, rows)
+def sharing(queries: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """Distinct (query_id, id) of all pairs whose Jaccard similarity may be ``threshold`` or more, by a prefix filter.
+
+    Features are ordered by how many items have them, rare ones first.  Of n features a set must
+    share ceil(threshold * n) with one so similar, so two such sets meet in the first
+    n - ceil(threshold * n) + 1 of both; and the smaller has ``threshold`` of the larger's size at
+    least.  Nothing is lost.  Empty sets meet each other; a threshold of 0 or less takes every pair.
+    """
+    if threshold <= 0:
+        return queries.select(F.col("id").alias("query_id")).join(items.select("id"), F.col("query_id") != F.col("id")).distinct()
+    own = F.array_distinct("features")
+    each = lambda rows: rows.select("id", own.alias("features")).distinct().select("id", "features", F.size("features").alias("n"), F.explode(F.when(F.size("features") == 0, F.array(F.lit(""))).otherwise(F.col("features"))).alias("feature"))
+    df = each(items).groupBy("feature").agg(F.count("*").alias("df"))
+    rarest = Window.partitionBy("id", "features").orderBy("df", "feature")
+    kept = F.col("n") - F.ceil(threshold * F.col("n") - 1e-6) + 1
+
+    def prefix(rows: DataFrame) -> DataFrame:
+        ranked = each(rows).join(df, "feature", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("place", F.row_number().over(rarest))
+        return ranked.where(F.col("place") <= kept).select("id", "n", "feature")
+
+    q = prefix(queries).select(F.col("id").alias("query_id"), F.col("n").alias("m"), "feature")
+    alike = F.least("m", "n") >= threshold * F.greatest("m", "n") - 1e-6
+    return q.join(prefix(items), "feature").where((F.col("query_id") != F.col("id")) & alike).select("query_id", "id").distinct()
+
+
+def similar(queries: DataFrame, items: DataFrame, threshold: float = 0.5, k: int | None = 1000, bands: int | None = None, rows: int = 2) -> DataFrame:
+    """Pairs whose true Jaccard similarity is ``threshold`` or more, best first; rows: (id, features, signature).
+
+    All such pairs are found; with ``bands``, only those that share a bucket of that many
+    bands, which finds a pair of similarity s with probability 1 - (1 - s ** rows) ** bands.
+    """
+    found = sharing(queries, items, threshold) if bands is None else candidates(queries, items, bands, rows)
     both = found.join(queries.select(F.col("id").alias("query_id"), F.col("features").alias("qf")), "query_id").join(items.select("id", "features"), "id")
     scored = both.select("query_id", "id", F.round(S.jaccard(F.col("qf"), F.col("features")), 9).alias("score")).where(F.col("score") >= threshold)
     return top_k(scored, k, ["query_id"], ["score"], ["id"])

@@ -117,6 +117,19 @@ def test_minhash(spark):
     assert got <= exact and len(got) >= 0.95 * len(exact)
 
 
+def test_similar_loses_no_pair(spark):
+    """As the registered query calls it: threshold 0.3, everything else by default."""
+    rnd = random.Random(5)
+    words = [f"f{k}" for k in range(60)]
+    rows = [(str(i), ["common", *sorted(rnd.sample(words[: 12 + i % 40], rnd.randrange(0, 12)))]) for i in range(150)] + [("e1", []), ("e2", []), ("r", ["a", "b", "a"]), ("s", ["b", "a"])]
+    items = spark.createDataFrame(rows, "id string, features array<string>").withColumn("signature", lsh.signature(F.col("features"))).cache()
+    sets = {i: {*f} for i, f in rows}
+    for threshold in (0.3, 0.5, 1.0):
+        score = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 9) if sets[a] | sets[b] else 1.0 for a, b in itertools.permutations(sets, 2)}
+        want = {p: s for p, s in score.items() if s >= threshold}
+        assert len(want) > 2 and {(r.query_id, r.id): r.score for r in lsh.similar(items, items, threshold, None).collect()} == want
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_assignment_is_optimal(seed):
     rnd = np.random.default_rng(seed)
