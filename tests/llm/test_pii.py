@@ -56,6 +56,31 @@ def test_roundtrip_of_many():
         assert back.text(fwd.text(text)[0])[0] == text
 
 
+@pytest.mark.parametrize(
+    ("value", "after"),
+    [
+        ("4111 1111 1111 1111", " 12/25"), ("4111111111111111", " 123"), ("4111-1111-1111-1111", "-12 3"), ("3782 822463 10005", " 1234"),
+        ("AT61 1904 3002 3457 3201", " BIC"), ("AT611904300234573201", " BIC"), ("ES91 2100 0418 4502 0005 1332", " USD"), ("AT61 1904 3002 3457 3201", " SWIFT 12"),
+    ],
+)
+def test_what_follows_a_value(value, after):
+    text = f"Pay {value}{after} now"
+    new, found = pii.Pseudonyms(KEY).text(text)
+    kind = "iban" if value[0].isalpha() else "card"
+    assert found == [(kind, 4, 4 + len(value))] and value not in new and new.endswith(f"{after} now")
+    assert pii.Pseudonyms(KEY, back=True).text(new) == (text, found)
+
+
+def test_roundtrip_with_groups_behind():
+    rnd = random.Random(4)
+    fwd, back = pii.Pseudonyms(KEY), pii.Pseudonyms(KEY, back=True)
+    for _ in range(1000):
+        body = "".join(rnd.choice("0123456789") for _ in range(15))
+        text = f"x {body}{pii.luhn(body)} {rnd.randrange(10, 1000)}"
+        new, found = fwd.text(text)
+        assert len(found) == 1 and body not in new and back.text(new)[0] == text
+
+
 def test_documents(spark):
     rows = [(1, TEXT, "a"), (1, TEXT, "a"), (2, None, "b"), (3, "", None), (None, "no such " * 5000 + "ab.12@x.example.com", "c")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, private string")
