@@ -15,7 +15,7 @@ from lakefinder.operators.overlap import top_k
 BLOCK = 4096
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, threshold: float | None = None, metric: str = "cosine", where: Column | str | None = None, include_self: bool = False) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, threshold: float | None = None, metric: str = "cosine", where: Column | str | None = None, include_self: bool = False, apart: str | None = None) -> DataFrame:
     """The k nearest vectors of each query: exact.
 
     queries, vectors: (id, embedding), vectors with whatever columns ``where`` tests; the
@@ -24,17 +24,19 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, threshold: floa
     distance)).  Queries are taken in blocks of ``BLOCK``; every task keeps the best k of its
     vectors for each query, and the best k of those are returned, so no pairs are
     shuffled but these.  Ties go to the smaller id.  A null or differently long vector has no neighbours.
+    ``apart``: a column of both sides; vectors with the query's value in it are left out before the ranking.
     """
     if where is not None:
         vectors = vectors.where(where)
     kind = vectors.schema["id"].dataType.simpleString()
-    own = queries.select("id", "embedding").where("embedding is not null")
+    group = (F.lit(None).cast("string") if apart is None else F.col(apart).cast("string")).alias("apart")
+    own = queries.select("id", "embedding", group).where("embedding is not null")
     # queries are numbered by hash into blocks, so that a block is what one broadcast holds
     n_blocks = max(1, -(-own.count() // BLOCK))
     found = None
     for b in range(n_blocks):
         block = own if n_blocks == 1 else own.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b)
-        part = _block_nearest(block, vectors.select("id", "embedding").where("embedding is not null"), k, threshold, metric, kind, include_self)
+        part = _block_nearest(block, vectors.select("id", "embedding", group).where("embedding is not null"), k, threshold, metric, kind, include_self)
         found = part if found is None else found.unionByName(part)
     return top_k(found, k, ["query_id"], ["score"], ["id"])
 
@@ -46,7 +48,10 @@ def _block_nearest(block: DataFrame, vectors: DataFrame, k: int, threshold: floa
     dim = max((len(v) for v in rows), default=0)
     use = [i for i, v in enumerate(rows) if len(v) == dim]
     matrix = np.vstack([rows[i] for i in use]) if use else np.zeros((0, dim))
-    shared = vectors.sparkSession.sparkContext.broadcast(([ids[i] for i in use], matrix))
+    groups = got.column("apart").to_pylist()
+    number = {g: i for i, g in enumerate(dict.fromkeys(g for g in groups if g is not None))}
+    group = np.array([number.get(groups[i], -1) for i in use], np.int64)
+    shared = vectors.sparkSession.sparkContext.broadcast(([ids[i] for i in use], matrix, number, group))
     query_kind = block.schema["id"].dataType.simpleString()
 
     def unit(m: np.ndarray) -> np.ndarray:
@@ -54,12 +59,13 @@ def _block_nearest(block: DataFrame, vectors: DataFrame, k: int, threshold: floa
         return m / np.where(n == 0, 1, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, q = shared.value
+        names, q, number, group = shared.value
         qs = unit(q) if metric == "cosine" else q
         best: list[list[tuple[float, object]]] = [[] for _ in names]
         for batch in batches:
             cand = batch.column(0).to_pylist()
             vecs = batch.column(1).to_pylist()
+            of = np.array([number.get(g, -2) for g in batch.column(2).to_pylist()], np.int64)
             keep = [i for i, v in enumerate(vecs) if len(v) == q.shape[1] and q.shape[0]]
             for at in range(0, len(keep), 2048):
                 part = keep[at : at + 2048]
@@ -70,13 +76,15 @@ def _block_nearest(block: DataFrame, vectors: DataFrame, k: int, threshold: floa
                     square = (qs**2).sum(1)[:, None] + (m**2).sum(1)[None] - 2 * qs @ m.T
                     score = 1 / (1 + np.sqrt(np.maximum(square, 0)))
                 score = np.round(score, 9)
+                if number:
+                    score[group[:, None] == of[part][None]] = -np.inf
                 for j, row in enumerate(score):
                     order = np.argsort(-row, kind="stable")[: k + 1] if len(row) > 4 * k else range(len(row))
                     least = row[order[-1]] if len(row) > 4 * k else -np.inf
                     some = [i for i in range(len(row)) if row[i] >= least] if len(row) > 4 * k else order
                     mine = best[j]
                     for i in some:
-                        if (threshold is None or row[i] >= threshold) and (include_self or cand[part[i]] != names[j]):
+                        if row[i] > -np.inf and (threshold is None or row[i] >= threshold) and (include_self or cand[part[i]] != names[j]):
                             mine.append((-float(row[i]), cand[part[i]]))
                     mine.sort()
                     del mine[k:]

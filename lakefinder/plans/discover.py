@@ -42,10 +42,10 @@ def bottom_up(lake: Lake, query_columns: DataFrame, config: Config = Config(), p
     asked = lake.columns.join(query_columns.select("table_name", "column_name").distinct(), ["table_name", "column_name"], "left_semi")
     index = materialize(column_vectors(lake.columns, provider), "column_vectors")
     q = index.join(query_columns.select("table_name", "column_name").distinct(), ["table_name", "column_name"], "left_semi")
-    hits = vectors.nearest(q, index, config.max_candidates, config.semantic_threshold)
+    hits = vectors.nearest(q, index, config.max_candidates, config.semantic_threshold, apart=None if config.include_self else "table_name")
     name = index.select("id", "table_name", "column_name")
     semantic = hits.join(name.select(F.col("id").alias("query_id"), F.col("table_name").alias("query_table"), F.col("column_name").alias("query_column")), "query_id").join(name, "id")
-    semantic = semantic.where("query_table != table_name").select("query_table", "query_column", "table_name", "column_name", "score")
+    semantic = semantic.select("query_table", "query_column", "table_name", "column_name", "score")
     own = lake.values.join(query_columns, ["table_name", "column_name"], "left_semi").select(F.col("table_name").alias("query_table"), F.col("column_name").alias("query_column"), "value")
     by_value = overlap.value_overlap(own, lake.values, config.overlap_threshold, config.max_candidates, config.include_self)
     merged = materialize(fusion.merge_hits(semantic, by_value), "merged")

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lakefinder.config import Config
 from lakefinder.operators import assignment, evaluate, fusion, lsh, metadata, overlap, vectors
 from lakefinder.plans import columns as P, discover, report, routing, verify
 from lakefinder.sources import catalog, store
@@ -130,6 +131,32 @@ def test_similar_loses_no_pair(spark):
         assert len(want) > 2 and {(r.query_id, r.id): r.score for r in lsh.similar(items, items, threshold, None).collect()} == want
 
 
+def test_nearest_apart(spark):
+    """Vectors of the query's own group take no place among the best k; with and without a cut to the best."""
+    rnd = np.random.default_rng(3)
+    rows = [(i, f"g{i % 7}" if i % 7 else None, rnd.normal(size=4).round(2).tolist()) for i in range(400)]
+    v = spark.createDataFrame(rows, "id long, g string, embedding array<double>").coalesce(1)
+    m = np.array([r[2] for r in rows])
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    got = {}
+    for r in vectors.nearest(v.where("id < 20"), v, 5, apart="g").collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id))
+    for i in range(20):
+        want = sorted((-round(float(unit[i] @ unit[j]), 9), j) for j in range(400) if j != i and (i % 7 == 0 or j % 7 != i % 7))[:5]
+        assert [j for _, j in sorted(got[i])] == [j for _, j in want]
+
+
+def test_bottom_up_of_a_wide_table(spark):
+    """A query table of more columns than there are candidates does not hide the others' like columns."""
+    wide = spark.createDataFrame([tuple(f"w{k} {i}" for k in range(45)) for i in range(3)], ", ".join(f"customer_address_{k} string" for k in range(45)))
+    other = spark.createDataFrame([("x",), ("y",)], "customer_address_7 string")
+    found = catalog.lake_of({"wide": wide, "other": other})
+    asked = found.columns.where("column_name = 'customer_address_7' and table_name = 'wide'").select("table_name", "column_name")
+    config = Config(semantic_threshold=0.0, confidence_threshold=0.0)
+    got = discover.bottom_up(found, asked, config).matches.collect()
+    assert [(r.table_name, r.column_name) for r in got] == [("other", "customer_address_7")]
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_assignment_is_optimal(seed):
     rnd = np.random.default_rng(seed)
