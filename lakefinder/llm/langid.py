@@ -28,7 +28,8 @@ BITS = 17
 #: Documents of each language on which the model is fitted, at most (about), and words of a window of each.
 SAMPLE, WINDOW = 1500, 48
 SEGMENT = 64
-PIECE = 1 << 18
+#: Bytes of text worked on at once; fewer with more than ``MANY`` languages, as a segment's matrix grows with their square.
+PIECE, MANY = 1 << 18, 64
 _U = np.uint64
 
 #: Words are runs of ASCII letters and of what lies beyond ASCII.
@@ -192,11 +193,11 @@ def fit(col: pa.Array, langs: list[str], labels: np.ndarray, rounds: int = 4, ra
                 grad = p.copy()
                 grad[np.arange(len(y)), y] -= 1
                 grad /= len(some)
-                g = np.zeros((1 << BITS, k))
-                np.add.at(g, cols, grad[rows])
-                hit = np.unique(cols)
-                speed[hit] += g[hit] ** 2
-                weights[hit] -= rate * (g[hit] + 1e-5 * weights[hit]) / np.sqrt(speed[hit])
+                hit, own = np.unique(cols, return_inverse=True)
+                g = np.zeros((len(hit), k))
+                np.add.at(g, own, grad[rows])
+                speed[hit] += g**2
+                weights[hit] -= rate * (g + 1e-5 * weights[hit]) / np.sqrt(speed[hit])
                 inner = np.ones(len(chosen), bool)
                 inner[offs[:-1]] = False
                 b = np.flatnonzero(inner)
@@ -240,22 +241,19 @@ def training_windows(docs: DataFrame, sample: int = SAMPLE, window: int = WINDOW
     words from a place that another hash gives, so all parts of texts are alike.
     """
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    size = {r.lang: r.n for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()}
-    share = F.lit(0)
-    for lang, n in size.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1 << 30, int((1 << 30) * sample / n)))).otherwise(share)
-    chosen = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
+    size = own.groupBy("lang").agg(F.count("*").alias("n"))
+    share = size.select("lang", F.floor(F.least(F.lit(float(1 << 30)), F.lit(float((1 << 30) * sample)) / F.col("n"))).alias("share"))
+    chosen = own.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share"))
     parts = chosen.withColumn("parts", F.split("text", r"\s+"))
     place = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.size("parts") - window + 1, F.lit(1))).cast("int") + 1
     return parts.select("lang", "doc_id", F.array_join(F.slice("parts", place, F.lit(window)), " ").alias("text"))
 
 
-#: At most so many languages are learnt, the most frequent ones.
-LANGS = 64
-
-
 def train(docs: DataFrame, sample: int = SAMPLE, window: int = WINDOW) -> Model:
-    """Learn from text and non-null lang of documents outside the held-out fold; no such rows, a model of no languages."""
+    """Learn from text and non-null lang of documents outside the held-out fold; no such rows, a model of no languages.
+
+    Every such lang is learnt, however rare.  The driver holds 2 MB for each, a worker 0.5 MB.
+    """
     got = training_windows(docs, sample, window).toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")])
     langs = sorted(set(got.column("lang").to_pylist()))
     if not langs:
@@ -285,7 +283,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", runs: bool =
         k = len(model.langs)
         for batch in batches:
             langs, scores, spans = [], [], []
-            for w in W.words(batch.column(len(kept)), LETTERS, limit=PIECE):
+            for w in W.words(batch.column(len(kept)), LETTERS, limit=max(1 << 14, int(PIECE * min(1.0, (MANY / max(k, 1)) ** 2)))):
                 n = np.diff(w.offs)
                 if not k:
                     langs += ["und"] * len(n)

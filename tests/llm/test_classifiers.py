@@ -39,6 +39,21 @@ def test_languages(tables):
     assert sum(r.lang_pred == r.lang for r in own) / len(own) >= 0.97
 
 
+def test_every_language_is_learnt(spark):
+    """Seventy languages, the last six with fewer documents than the others."""
+    rnd = random.Random(9)
+    rows = []
+    for i in range(70):
+        letters = rnd.sample("abcdefghijklmnopqrstuvwxyz", 8)
+        words = ["".join(rnd.choices(letters, k=rnd.randrange(3, 9))) for _ in range(30)]
+        rows += [(100 * i + d, f"l{i:02d}", " ".join(rnd.choices(words, k=40))) for d in range(12 if i < 64 else 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = langid.train(docs)
+    assert model.langs == [f"l{i:02d}" for i in range(70)]
+    got = langid.identify(docs.where("lang >= 'l64'"), model).collect()
+    assert len(got) == 48 and sum(r.lang == r.lang_pred for r in got) >= 0.9 * len(got)
+
+
 @pytest.mark.parametrize("classify", [lambda d, y: quality.classify(d, y), lambda d, y: toxicity.classify(d, y), lambda d, y: langid.classify(d)])
 def test_edges(spark, classify):
     docs = [(1, None, "en"), (2, "", "en"), (3, "12 34 … 🎉", None), (None, "some words", "de"), (4, "long " * 30000, "de"), (4, "long " * 30000, "de"), (5, "le la les", "fr")]
