@@ -14,13 +14,13 @@ from lakefinder.scratch import materialize
 SIDE = ["table_name", "column_name", "data_type", "sample_values", "null_count", "unique_count"]
 
 
-def column_pairs(columns: DataFrame, table_pairs: DataFrame | None = None, per_table: int = 20) -> DataFrame:
+def column_pairs(columns: DataFrame, table_pairs: DataFrame | None = None, per_table: int | None = None) -> DataFrame:
     """Pairs of columns of the given pairs (query_table, table_name); of all tables, if none are given.
 
-    Of each table its first ``per_table`` columns take part.  Columns of side one have the
-    prefix q_.  The pairs of two tables are bounded by that, and table pairs come from a search.
+    All columns of each table take part; with ``per_table``, its first so many only.  Columns of
+    side one have the prefix q_.  Table pairs come from a search.
     """
-    own = columns.where(F.col("ordinal") < per_table).select(*SIDE)
+    own = (columns if per_table is None else columns.where(F.col("ordinal") < per_table)).select(*SIDE)
     q = own.select(*(F.col(c).alias(f"q_{c}") for c in SIDE))
     if table_pairs is None:
         both = q.join(own, F.col("q_table_name") != F.col("table_name"))

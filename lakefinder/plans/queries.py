@@ -152,7 +152,7 @@ def q_table_rules(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    return P.column_pairs(lake(spark, sf_dir).columns, None, 20)
+    return P.column_pairs(lake(spark, sf_dir).columns)
 
 
 def q_pair_similarity(spark, sf_dir):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lakefinder.config import Config
 from lakefinder.operators import assignment, evaluate, fusion, lsh, metadata, overlap, vectors
-from lakefinder.plans import columns as P, discover, report, routing, verify
+from lakefinder.plans import columns as P, discover, queries, report, routing, verify
 from lakefinder.sources import catalog, store
 
 
@@ -157,6 +157,15 @@ def test_bottom_up_of_a_wide_table(spark):
     assert [(r.table_name, r.column_name) for r in got] == [("other", "customer_address_7")]
 
 
+def test_pairs_of_wide_tables(spark, monkeypatch):
+    """As the registered queries call it: columns from the 21st on are compared, too."""
+    wide = spark.createDataFrame([tuple(range(25))], ", ".join(f"c{k} int" for k in range(25)))
+    found = catalog.lake_of({"a": wide, "b": wide})
+    monkeypatch.setattr(queries, "lake", lambda spark, sf_dir: found)
+    assert queries._pairs(spark, "").count() == 2 * 25 * 25
+    assert P.column_pairs(found.columns, None, 20).count() == 2 * 20 * 20
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_assignment_is_optimal(seed):
     rnd = np.random.default_rng(seed)
