@@ -76,13 +76,13 @@ def text_postings(columns: DataFrame, shown: int = 5) -> DataFrame:
 
 
 def text_search(postings: DataFrame, query: list[str], k: int | None = 10) -> DataFrame:
-    """Columns that have the query's words, by the sum of the words' rarity; ``score`` is min(0.9, 1 / (1 + rank))."""
+    """Columns that have the query's words, by the sum of the words' rarity; ``score`` is min(0.9, 1 / (1 + rank)); k None: all of them."""
     terms = sorted({w.lower() for w in query if len(w) > 1})
     n = postings.select("table_name", "column_name").distinct().agg(F.count("*").alias("n"))
     hits = postings.where(F.col("term").isin(terms))
     rarity = hits.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", F.log(1 + F.col("n") / F.col("df")).alias("idf"))
     found = hits.join(F.broadcast(rarity), "term").groupBy("table_name", "column_name").agg(F.sum("idf").alias("weight"))
     found = found.withColumn("weight", F.round("weight", 9))
-    best = found.orderBy(F.desc("weight"), "table_name", "column_name").limit(k or 1000)
+    best = top_k(found, k, [], ["weight"], ["table_name", "column_name"])
     ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("weight"), "table_name", "column_name")))
     return ranked.withColumn("score", F.least(F.lit(0.9), 1 / (1 + F.col("rank"))))

@@ -166,6 +166,12 @@ def test_pairs_of_wide_tables(spark, monkeypatch):
     assert P.column_pairs(found.columns, None, 20).count() == 2 * 20 * 20
 
 
+def test_text_search_of_all(spark):
+    postings = spark.range(1200).selectExpr("'word' AS term", "concat('t', id) AS table_name", "'c' AS column_name")
+    assert overlap.text_search(postings, ["word"], None).count() == 1200
+    assert overlap.text_search(postings, ["word"], 10).count() == 10
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_assignment_is_optimal(seed):
     rnd = np.random.default_rng(seed)
