@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import bisect
 import datetime
+import functools
 import hashlib
 import math
 import re
@@ -20,6 +21,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from lakefinder.llm.arrow import tidy
+
 ROUNDS = 8
 
 
@@ -52,6 +55,13 @@ class Permutation:
                 return x
 
 
+@functools.lru_cache(maxsize=64)
+def block(c: str) -> str:
+    """The letters of the 128 code points among which ``c`` is."""
+    first = ord(c) & ~127
+    return "".join(x for x in map(chr, range(first, first + 128)) if x > "\x7f" and x.isalpha())
+
+
 def luhn(digits: str) -> int:
     """The check digit of the digits before it."""
     total = 0
@@ -70,19 +80,21 @@ def refill(shape: str, digits: str) -> str:
 #: Alphabets by which characters of a secret are permuted: each character stays in its own.
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 HEX = "0123456789abcdef"
+#: Lengths of the groups in which cards are written.
+GROUPED = ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), *((n,) for n in range(13, 20)))
 FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 DAYS = datetime.date(2100, 1, 1).toordinal() - FIRST_DAY
 
 #: What may be private, each with the method that validates it; the first that matches at a place is tried there.
 KINDS = {
-    "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![\w.+-])\w[\w.%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "secret": r"(?i:password|passwd|token|secret|api_?key)\s*[=:]\s*[\"']?(?P<secret_value>[A-Za-z0-9_\-]{8,})",
-    "access_key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "address": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
+    "access_key": r"(?<![A-Za-z0-9_])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9_])",
+    "iban": r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9_])",
+    "address": r"(?<![A-Za-z0-9_.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
     "date": r"(?<![0-9/.-])(?:[0-9]{4}(?P<date_sep>[-/.])[0-9]{2}(?P=date_sep)[0-9]{2}|[0-9]{2}(?P<sep2>[-/.])[0-9]{2}(?P=sep2)[0-9]{4})(?![0-9]|[-/.][0-9])",
     "social": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
-    "phone": r"(?<![\w-])(?:\+?1[ .-]?)?(?P<phone_no>\([0-9]{3}\) ?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9]|-[0-9])",
+    "phone": r"(?<![A-Za-z0-9_-])(?:\+?1[ .-]?)?(?P<phone_no>\([0-9]{3}\) ?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9]|-[0-9])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
 PRIVATE = re.compile("|".join(f"(?P<{k}>{v})" for k, v in KINDS.items()))
@@ -95,6 +107,17 @@ def is_card(shape: str) -> bool:
     return 13 <= len(d) <= 19 and luhn(d[:-1]) == int(d[-1]) and len(set(d)) > 1
 
 
+def card_begins(shape: str) -> int:
+    """The group of ``shape`` at which a valid card written in the usual groups begins; 0 if none does."""
+    groups = re.split("[ -]", shape)
+    for k in range(len(groups)):
+        for form in GROUPED:
+            some = groups[k : k + len(form)]
+            if tuple(map(len, some)) == form and is_card("".join(some)):
+                return k
+    return 0
+
+
 def is_iban(shape: str) -> bool:
     plain = shape.replace(" ", "")
     return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
@@ -137,14 +160,14 @@ class Pseudonyms:
     def digits(self, kind: str, digits: str) -> str:
         return str(self.permute(kind, int(digits), 10 ** len(digits))).zfill(len(digits))
 
-    def letters(self, kind: str, text: str, alphabets: tuple[str, ...]) -> str:
-        """Permute the characters that are in an alphabet, as one number in mixed radix."""
-        own = [next((a for a in alphabets if c in a), None) for c in text]
+    def letters(self, kind: str, text: str, alphabets: tuple[str, ...], beyond: bool = False) -> str:
+        """Permute the characters that are in an alphabet, as one number in mixed radix; beyond: letters beyond ASCII too, each in its block."""
+        own = [next((a for a in alphabets if c in a), block(c) if beyond and c > "\x7f" and c.isalpha() else None) for c in text]
         x, size = 0, 1
         for c, a in zip(text, own, strict=True):
             if a:
                 x, size = x * len(a) + a.index(c), size * len(a)
-        x = self.permute(f"{kind}/{''.join('-' if a is None else str(alphabets.index(a)) for a in own)}", x, size)
+        x = self.permute(f"{kind}/{''.join('-' if a is None else str(alphabets.index(a)) if a in alphabets else a[0] for a in own)}", x, size)
         out = []
         for c, a in zip(reversed(text), reversed(own), strict=True):
             if a:
@@ -157,7 +180,8 @@ class Pseudonyms:
     # perhaps that of the match's first groups only.
 
     def card(self, m: re.Match) -> str | None:
-        return leading(m[0], is_card, self.new_card)
+        # a number may stand before the card's own groups: these are looked at when the search comes to them
+        return None if card_begins(m[0]) else leading(m[0], is_card, self.new_card)
 
     def new_card(self, shape: str) -> str:
         body = self.digits("card", re.sub(r"\D", "", shape)[:-1])
@@ -216,7 +240,7 @@ class Pseudonyms:
 
     def email(self, m: re.Match) -> str | None:
         local, host = m[0].rsplit("@", 1)
-        return self.letters("email", local, ALPHABETS) + "@" + host
+        return self.letters("email", local, ALPHABETS, beyond=True) + "@" + host
 
     def access_key(self, m: re.Match) -> str | None:
         return m[0][:4] + self.letters("access key", m[0][4:], ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",))
@@ -257,7 +281,9 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", back: bool
     Found are: e-mail addresses (the part before @), passwords and tokens that are assigned,
     access keys, IBANs, IPv4 addresses, dates, US social security numbers, North American
     telephone numbers and payment cards; numbers only where their check digits or ranges are
-    valid.  Of a card or IBAN with more groups behind it the longest valid part is taken, if not
+    valid, but telephone numbers by their form alone: ten digits in groups, whatever the digits
+    (neither such without separators nor numbers of other countries).  Where a number stands before
+    a card's usual groups, the card is told by them.  Of a card or IBAN with more groups behind it the longest valid part is taken, if not
     all of it is valid; there a value's pseudonym may be another than elsewhere, in about one of ten
     (cards) or a hundred (IBANs), and a private number in those groups may keep ``back`` from
     finding the value as often.  Adds ``private`` (array of kind, first and end character in the new text) in place
@@ -285,4 +311,4 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", back: bool
                 spans.append([dict(zip(("kind", "first", "end"), f, strict=True)) for f in found])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(texts, pa.string()), pa.array(spans, span)], [*(f.name for f in kept), text_col, "private"])
 
-    return docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(text_col).alias("__text")).mapInArrow(tidy(run), schema)
