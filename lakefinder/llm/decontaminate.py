@@ -22,61 +22,96 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from lakefinder.llm import words as W
+from lakefinder.llm.arrow import tidy
+from lakefinder.scratch import materialize
 
-#: Text of the benchmark in one broadcast.
-BLOCK_BYTES = 16 << 20
+#: Text of the benchmark in one broadcast; as arrays it takes some ten times that.
+BLOCK_BYTES = 8 << 20
 FILTER_BITS = 22
 SPANS = "array<struct<s:int,e:int>>"
 
 
 @dataclass
 class Windows:
-    """The distinct windows of a block of items."""
-
-    texts: list[list[bytes]]  #: words of each window
-    words: np.ndarray  #: their hashes, a row for each window, 0 beyond its length
-    length: np.ndarray
-    items: list[tuple[str, ...]]  #: ids of the items that have the window
-    shingles: dict[int, dict[int, list[tuple[int, int]]]]  #: by shingle length: hash -> (window, offset)
-
-
-def item_words(text: str | None) -> tuple[list[bytes], np.ndarray]:
-    w = next(W.words(pa.array([text or ""]), W.ALNUM))
-    raw = W.LOWER[w.buf].tobytes()
-    return [raw[a:b] for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True)], w.hash
+    """The distinct windows of a block of items, as places in the items' words."""
+
+    buf: np.ndarray  #: bytes of the items, after lower-casing
+    start: np.ndarray  #: of each word, in buf
+    end: np.ndarray
+    hash: np.ndarray  #: of each word
+    first: np.ndarray  #: first word of each window
+    length: np.ndarray  #: in words
+    ends: np.ndarray  #: items of window b are item[ends[b] : ends[b + 1]]
+    item: np.ndarray  #: numbers of items
+    ids: list[str]  #: of items, in ascending order
+    shingle: int
+
+    def sizes(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Shingle length, the windows that use it, and the hashes of shingles that begin at each word."""
+        size = np.minimum(self.length, self.shingle)
+        for s in np.unique(size).tolist():
+            yield s, np.flatnonzero(size == s), W.sequence_hash(self.hash, s)
+
+    def shingles(self) -> dict[int, np.ndarray]:
+        """The distinct shingles of all windows, by length, sorted."""
+        out = {}
+        for s, own, at in self.sizes():
+            most = int(self.length[own].max())
+            some = [at[self.first[own[self.length[own] >= s + k]] + k] for k in range(most - s + 1)]
+            out[s] = np.unique(np.concatenate(some))
+        return out
 
 
 def windows_of(items: list[tuple[str | None, str | None]], window: int, shingle: int) -> Windows:
-    number: dict[tuple[bytes, ...], int] = {}
-    ids: list[set[str]] = []
-    hashes: list[np.ndarray] = []
-    for item, text in items:
-        found, h = item_words(text)
-        n = min(window, len(found))
-        for k in range(len(found) - n + 1 if n else 0):
-            key = tuple(found[k : k + n])
-            at = number.setdefault(key, len(ids))
-            if at == len(ids):
-                ids.append(set())
-                hashes.append(h[k : k + n])
-            if item is not None:
-                ids[at].add(item)
-    table = np.zeros((len(ids), window), np.uint64)
-    shingles: dict[int, dict[int, list[tuple[int, int]]]] = {}
-    for at, h in enumerate(hashes):
-        table[at, : len(h)] = h
-        size = min(shingle, len(h))
-        of_size = shingles.setdefault(size, {})
-        for off, x in enumerate(W.sequence_hash(h, size).tolist()):
-            of_size.setdefault(x, []).append((at, off))
-    return Windows([list(k) for k in number], table, np.array([len(h) for h in hashes], np.int64), [tuple(sorted(x)) for x in ids], shingles)
+    """The distinct windows of (id, text) items.
+
+    A null text, or one without words, has no windows; windows of items whose id is null name no
+    item; items that repeat an id are one item of several texts; no items give no windows.
+    """
+    ids = sorted({i for i, _ in items if i is not None})
+    number = {x: k for k, x in enumerate(ids)}
+    bufs, starts, ends, hashes, sizes, base = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for w in W.words(pa.array([t for _, t in items], pa.string()), W.ALNUM):
+        bufs.append(W.LOWER[w.buf])
+        starts.append(w.start + base)
+        ends.append(w.end + base)
+        hashes.append(w.hash)
+        sizes.append(np.diff(w.offs))
+        base += len(w.buf)
+    h, n = np.concatenate(hashes), np.concatenate(sizes)
+    item = np.array([-1 if i is None else number[i] for i, _ in items], np.int64)
+    head = np.cumsum(n) - n
+    length = np.minimum(n, window)
+    count = np.where(n > 0, n - length + 1, 0)
+    first = np.repeat(head - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+    length, item = np.repeat(length, count), np.repeat(item, count)
+    code = np.zeros(len(first), np.uint64)
+    for size in np.unique(length).tolist():
+        own = np.flatnonzero(length == size)
+        code[own] = W.mix(W.sequence_hash(h, size)[first[own]] + np.uint64(size))
+    _, at, which = np.unique(code, return_index=True, return_inverse=True)
+    same = length == length[at[which]]
+    for k in range(window):  # windows are the same if their words are, not if one hash is
+        inside = np.flatnonzero(same & (k < length))
+        same[inside] = h[first[inside] + k] == h[first[at[which[inside]]] + k]
+    other = np.flatnonzero(~same)
+    which[other] = len(at) + np.arange(len(other))
+    at = np.concatenate((at, other))
+    named = np.flatnonzero(item >= 0)
+    pairs = np.unique(which[named] * max(1, len(ids)) + item[named])
+    of = pairs // max(1, len(ids))
+    return Windows(
+        np.concatenate(bufs), np.concatenate(starts).astype(np.int32), np.concatenate(ends).astype(np.int32), h,
+        first[at].astype(np.int32), length[at].astype(np.int32), np.searchsorted(of, np.arange(len(at) + 1)).astype(np.int32), (pairs % max(1, len(ids))).astype(np.int32), ids, shingle,
+    )
 
 
 class Lookup:
     """Finds which of many hashes are in a set: a bit filter first, then binary search."""
 
-    def __init__(self, keys: list[int]):
-        self.keys = np.sort(np.array(keys, np.uint64))
+    def __init__(self, keys: np.ndarray):
+        """keys: distinct and sorted."""
+        self.keys = keys
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[(self.keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
 
@@ -98,8 +133,8 @@ def runs(w: W.Words, size: int, look: Lookup) -> tuple[np.ndarray, np.ndarray]:
     return at[inside], k[inside]
 
 
-def count_shingles(docs: DataFrame, text_col: str, shingles: dict[int, list[int]]) -> dict[tuple[int, int], int]:
-    """How often each of the given shingles (by length) occurs in all documents."""
+def count_shingles(docs: DataFrame, text_col: str, shingles: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """How often each of the given shingles (by length, sorted) occurs in all documents."""
     shared = docs.sparkSession.sparkContext.broadcast(shingles)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,30 +148,34 @@ def count_shingles(docs: DataFrame, text_col: str, shingles: dict[int, list[int]
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), size, np.int32)), pa.array(looks[size].keys[some].view(np.int64)), pa.array(n[some])], ["size", "shingle", "n"])
 
-    found = docs.select(text_col).mapInArrow(count, "size int, shingle long, n long").groupBy("size", "shingle").agg(F.sum("n").alias("n"))
-    return {(r.size, r.shingle & (2**64 - 1)): r.n for r in found.toLocalIterator()}
+    found = docs.select(text_col).mapInArrow(tidy(count), "size int, shingle long, n long").groupBy("size", "shingle").agg(F.sum("n").alias("n")).toArrow()
+    shared.destroy()
+    size, key, n = (found.column(k).to_numpy() for k in range(3))
+    out = {s: np.zeros(len(keys), np.int64) for s, keys in shingles.items()}
+    for s, keys in shingles.items():
+        own = size == s
+        out[s][np.searchsorted(keys, key[own].view(np.uint64))] = n[own]
+    return out
 
 
-def prefixes(win: Windows, frequency: dict[tuple[int, int], int]) -> dict[int, tuple[Lookup, np.ndarray, np.ndarray, np.ndarray]]:
+def prefixes(win: Windows, shingles: dict[int, np.ndarray], frequency: dict[int, np.ndarray]) -> dict[int, tuple[Lookup, np.ndarray, np.ndarray, np.ndarray]]:
     """For each shingle length: the prefix shingles, and in CSR form the windows they stand for and their offsets."""
-    best: dict[int, tuple[int, int, int, int]] = {}
-    for size, of_size in win.shingles.items():
-        for x, places in of_size.items():
-            for at, off in places:
-                cand = (frequency.get((size, x), 0), x, off, size)
-                if at not in best or cand < best[at]:
-                    best[at] = cand
-    by_size: dict[int, dict[int, list[tuple[int, int]]]] = {}
-    for at, (n, x, off, size) in best.items():
-        if n:  # a shingle that no document has rules the window out
-            by_size.setdefault(size, {}).setdefault(x, []).append((at, off))
     out = {}
-    for size, of_size in by_size.items():
-        look = Lookup(list(of_size))
-        places = [of_size[x] for x in look.keys.tolist()]
-        ends = np.cumsum([0, *map(len, places)])
-        flat = [p for x in places for p in x]
-        out[size] = (look, ends, np.array([p[0] for p in flat], np.int64), np.array([p[1] for p in flat], np.int64))
+    for size, own, at in win.sizes():
+        n = np.full(len(own), np.iinfo(np.int64).max)
+        best, off = np.zeros(len(own), np.uint64), np.zeros(len(own), np.int64)
+        for k in range(int(win.length[own].max()) - size + 1):
+            some = np.flatnonzero(win.length[own] >= size + k)
+            x = at[win.first[own[some]] + k]
+            f = frequency[size][np.searchsorted(shingles[size], x)]
+            rarer = (f < n[some]) | ((f == n[some]) & (x < best[some]))
+            some, x, f = some[rarer], x[rarer], f[rarer]
+            n[some], best[some], off[some] = f, x, k
+        seen = np.flatnonzero(n)  # a shingle that no document has rules the window out
+        order = seen[np.argsort(best[seen], kind="stable")]
+        if len(order):
+            keys, first = np.unique(best[order], return_index=True)
+            out[size] = (Lookup(keys), np.append(first, len(order)), own[order], off[order])
     return out
 
 
@@ -158,20 +197,24 @@ def matches(w: W.Words, win: Windows, pre: dict) -> tuple[np.ndarray, np.ndarray
         none = np.zeros(0, np.int64)
         return none, none
     start, window = np.concatenate(starts), np.concatenate(which)
-    for k in range(win.words.shape[1]):
+    for k in range(int(win.length.max(initial=0))):
         if not len(start):
             break
-        here = np.minimum(start + k, len(w.hash) - 1)
-        ok = (k >= win.length[window]) | (w.hash[here] == win.words[window, k])
+        long = win.length[window]
+        theirs = win.hash[np.minimum(win.first[window] + k, len(win.hash) - 1)]
+        ok = (k >= long) | (w.hash[np.minimum(start + k, len(w.hash) - 1)] == theirs)
         start, window = start[ok], window[ok]
-    exact = np.fromiter((same_words(w, a, win.texts[b]) for a, b in zip(start.tolist(), window.tolist(), strict=True)), bool, len(start))
+    exact = np.fromiter((same_words(w, a, win, b) for a, b in zip(start.tolist(), window.tolist(), strict=True)), bool, len(start))
     return start[exact], window[exact]
 
 
-def same_words(w: W.Words, at: int, text: list[bytes]) -> bool:
-    raw = W.LOWER[w.buf[w.start[at] : w.end[at + len(text) - 1]]].tobytes()
-    base = w.start[at]
-    return all(raw[w.start[at + k] - base : w.end[at + k] - base] == x for k, x in enumerate(text))
+def same_words(w: W.Words, at: int, win: Windows, window: int) -> bool:
+    """Whether the words from ``at`` on are those of the window, byte by byte."""
+    first = int(win.first[window])
+    for k in range(int(win.length[window])):
+        if not np.array_equal(W.LOWER[w.buf[w.start[at + k] : w.end[at + k]]], win.buf[win.start[first + k] : win.end[first + k]]):
+            return False
+    return True
 
 
 def find_windows(docs: DataFrame, text_col: str, win: Windows, pre: dict, keep_text: bool) -> DataFrame:
@@ -200,14 +243,14 @@ def find_windows(docs: DataFrame, text_col: str, win: Windows, pre: dict, keep_t
                         own_spans[d][-1]["e"] = max(e, own_spans[d][-1]["e"])
                     else:
                         own_spans[d].append({"s": a, "e": e})
-                    own_items[d].update(win.items[b])
+                    own_items[d].update(win.item[win.ends[b] : win.ends[b + 1]].tolist())
                 n_words.append(np.diff(w.offs))
                 spans += own_spans
-                items += map(sorted, own_items)
+                items += [[win.ids[k] for k in sorted(own)] for own in own_items]
             n_all = np.concatenate(n_words) if n_words else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(n_all, pa.int64()), pa.array(spans, span_type), pa.array(items, pa.list_(pa.string()))], schema.names)
 
-    return docs.mapInArrow(find, schema)
+    return docs.mapInArrow(tidy(find), schema)
 
 
 def _marked(rows: DataFrame, benchmark: DataFrame, window: int, shingle: int, text_col: str, item_col: str, item_text_col: str, keep_text: bool) -> DataFrame:
@@ -215,14 +258,15 @@ def _marked(rows: DataFrame, benchmark: DataFrame, window: int, shingle: int, te
     bench = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("body"))
     size = bench.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     n_blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    if n_blocks > 1:
-        rows = rows.withColumn("__row", F.monotonically_increasing_id())
+    if n_blocks > 1:  # rows are numbered once and for all, as every block reads them anew
+        rows = materialize(rows.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     found = []
     for b in range(n_blocks):
         block = bench if n_blocks == 1 else bench.where(F.pmod(F.xxhash64("item", "body"), F.lit(n_blocks)) == b)
         win = windows_of([(r.item, r.body) for r in block.toLocalIterator()], window, shingle)
-        frequency = count_shingles(rows, text_col, {k: list(v) for k, v in win.shingles.items()}) if win.shingles else {}
-        found.append(find_windows(rows, text_col, win, prefixes(win, frequency), keep_text))
+        shingles = win.shingles()
+        frequency = count_shingles(rows, text_col, shingles) if shingles else {}
+        found.append(find_windows(rows, text_col, win, prefixes(win, shingles, frequency), keep_text))
     if n_blocks == 1:
         return found[0]
     every = found[0]
