@@ -19,7 +19,7 @@ def if_few(ids: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("least")).withColumn("least", F.least("least", "u"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("least").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -36,13 +36,14 @@ def components(edges: DataFrame) -> DataFrame:
     smallest ones themselves.  Repeated edges count once; no edges give no rows.  A hub of
     any degree costs one aggregate and one join on its id, which adaptive execution splits.
     """
-    now = edges.where("u != v").distinct()
+    now = edges.where("u != v")
     while True:
         after = materialize(_small_star(_large_star(now)), "edges")
         if now is not edges:
             discard(now)
         now = after
         # done when every node has one edge, to a node that has none: trees of depth one, one for each component
-        n, nodes = after.agg(F.count("*"), F.countDistinct("u")).first()
-        if n == nodes and after.join(after.select(F.col("v").alias("w")).distinct(), F.col("u") == F.col("w"), "left_semi").isEmpty():
+        ends = after.select(F.col("u").alias("w"), F.lit(1).alias("out")).unionByName(after.select(F.col("v").alias("w"), F.lit(0).alias("out")))
+        degrees = ends.groupBy("w").agg(F.sum("out").alias("n"), F.min("out").alias("least"))
+        if not degrees.where("n > 1 or n = 1 and least = 0").agg(F.count("*")).first()[0]:
             return after

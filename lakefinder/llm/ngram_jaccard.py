@@ -1,9 +1,11 @@
 """N-gram Jaccard join by parity sketches: which texts are similar, without comparing all pairs.
 
 1. Every text becomes the set of its shingle hashes.  Equal sets are one class, found by a
-   128-bit digest; from here on only classes count, named by their smallest doc_id.
+   128-bit digest; from here on only classes count, by a number of their own.
 2. Each class gives the block keys of its parity sketch (``parity``); similar classes share
-   a key.  Classes with a key in common form a group.
+   a key.  Of its keys that more than ``SMALL`` classes have, a class leaves out those few that most
+   classes have, as similar classes share more keys than that: these are mostly the keys of
+   passages that many texts hold.  Classes with a key in common form a group.
 3. In groups of ``SMALL`` classes or fewer all are compared, first by sketches, whose Hamming
    distance rules out most pairs, then by the sets themselves.
 4. In a larger group each class x is compared with one hub h only: by its difference
@@ -18,7 +20,7 @@
    similar to the hub, by the sketches, go this way.  A class that is farther from a hub of its
    own (families of near classes share one hub) is compared as if its hub were the empty set, all its shingles being differences: with
    every class of a large group that has one of its rarest shingles.
-5. Where such a group is still large, it is tried whether the class nearest to the hub makes
+5. Where such groups are still large, and have more pairs in all than a few for each class, it is tried whether the class nearest to the hub makes
    a better hub for it (it does for copies of an edited copy); if so, the group goes on with
    that hub from step 4.  If not, its members are spread by their second common difference,
    the third and so on: with k common differences guaranteed, the first k of them stand
@@ -33,69 +35,74 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from lakefinder.llm.arrow import tidy
 from lakefinder.llm import parity, words as W
 from lakefinder.llm.components import components, if_few
 from lakefinder.scratch import discard, free_shuffles, materialize
 
 #: All pairs of a group of up to so many classes are compared at once.
-SMALL = 8
+SMALL = 16
 #: Common differences with which classes far from their hubs are spread, at most; then they are compared.
 SPREAD = 12
 #: As SMALL, for groups that share k differences from a hub: k times so many.
-SMALL_SHARED = 24
+SMALL_SHARED = 64
+#: Larger groups are compared at once too where all of them together have no more pairs than so many for each class of the table.
+CROSS = 20
 
 
-def _classes(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """doc_id, number of shingles, digest and sketch of each row."""
+def _digests(s: np.ndarray) -> tuple[int, int]:
+    return (int(W.mix(s ^ np.uint64(0x3C6EF372FE94F82B)).sum().view(np.int64)), int(W.mix(s ^ np.uint64(0xA54FF53A5F1D36F1)).sum().view(np.int64)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, d1, d2, sk = [], [], [], []
-            for w in W.words(batch.column(1), W.NON_SPACE):
-                for s in W.shingle_sets(w, size):
-                    n.append(len(s))
-                    d1.append(int(W.mix(s ^ np.uint64(0x3C6EF372FE94F82B)).sum().view(np.int64)))
-                    d2.append(int(W.mix(s ^ np.uint64(0xA54FF53A5F1D36F1)).sum().view(np.int64)))
-                    sk.append(parity.sketch(s, num, den))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sk, pa.binary())], ["doc_id", "n", "d1", "d2", "sketch"])
-
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sketch binary")
 
-
-def _keys(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(key, node) rows; of equal sets in a batch only the first gives its keys, as digests link the others."""
+def _profiles(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """(doc_id, th, text) rows to doc_id, th, number of shingles, digest, sketch and keys; of equal sets in a batch the first alone has the last two."""
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("th long, n long, d1 long, d2 long, sketch binary, keys array<long>")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, done = batch.column(0), set()
-            for w in W.words(batch.column(1), W.NON_SPACE):
-                found, nodes = [], []
-                for d, s in enumerate(W.shingle_sets(w, size), w.first):
-                    same = (len(s), s.sum(), np.bitwise_xor.reduce(W.mix(s))) if len(s) else None
-                    if same is None or same in done or not ids[d].is_valid:
-                        continue
-                    done.add(same)
-                    k = parity.keys(s, num, den)
-                    found.append(k)
-                    nodes.append(np.full(len(k), ids[d].as_py(), np.int64))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(nodes))], ["key", "node"])
+            done: set[tuple[int, int, int]] = set()
+            for w in W.words(batch.column(2), W.NON_SPACE):
+                n, d1, d2, sk, keys, ends, none = [], [], [], [], [], [0], []
+                for s in W.shingle_sets(w, size):
+                    x, y = _digests(s)
+                    n.append(len(s))
+                    d1.append(x)
+                    d2.append(y)
+                    known = (len(s), x, y) in done or not len(s)
+                    done.add((len(s), x, y))
+                    sk.append(None if known else parity.sketch(s, num, den))
+                    keys.append(s[:0] if known else parity.keys(s, num, den))
+                    ends.append(ends[-1] + len(keys[-1]))
+                    none.append(known)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64)), mask=pa.array(none))
+                own = (batch.column(k).slice(w.first, w.last - w.first) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sk, pa.binary()), lists], schema.names)
 
-    return docs.mapInArrow(run, "key long, node long")
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
+    """(th, text) rows to the digests and elements of their sets, each set once for a batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            done: set[tuple[int, int]] = set()
             for w in W.words(batch.column(1), W.NON_SPACE):
-                sets = list(W.shingle_sets(w, size))
-                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, w.last - w.first), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["rep", "elems"])
+                sets, ids = [], []
+                for s in W.shingle_sets(w, size):
+                    both = _digests(s)
+                    if len(s) and both not in done:
+                        done.add(both)
+                        sets.append(s)
+                        ids.append(both)
+                if sets:
+                    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in ids], pa.int64()), pa.array([y for _, y in ids], pa.int64()), lists], ["d1", "d2", "elems"])
 
-    return docs.mapInArrow(run, "rep long, elems array<long>")
+    return docs.mapInArrow(tidy(run), "d1 long, d2 long, elems array<long>")
 
 
 def _near_by_sketch(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -109,28 +116,47 @@ def _near_by_sketch(pairs: DataFrame, num: int, den: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     fits = pairs.where(f"least(na, nb) * {den} >= greatest(na, nb) * {num}")
-    return fits.select("a", "b", "na", "nb", "ska", "skb").mapInArrow(run, "a long, b long")
+    return fits.select("a", "b", "na", "nb", "ska", "skb").mapInArrow(tidy(run), "a long, b long")
 
 
 def _with(pairs: DataFrame, col: str, other: DataFrame, key: str, **names: str) -> DataFrame:
     return pairs.join(other.select(F.col(key).alias(col), *(F.col(c).alias(n) for c, n in names.items())), col)
 
 
-def _first_groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _shared_keys(reps: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(key, rep) rows of the keys that two classes or more share: of keys of ``SMALL`` classes at most, and of the others; and the tables behind them.
+
+    Sizes come from sums that every task begins, and a join that adaptive execution can split, so
+    a key that very many classes have is no task of its own.  Of keys that more than SMALL
+    classes have, a class leaves out as many of each tag, the commonest, as ``parity`` allows.
+    """
+    rows = reps.select("rep", F.explode("keys").alias("key"))
+    shared = materialize(rows.join(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), "shared")
+    allowed = _allowed(reps.sparkSession, parity.allowances(num, den))
+    hot = shared.where(F.col("size") > SMALL).withColumn("tag", F.col("key").bitwiseAND((1 << parity.TAG_BITS) - 1).cast("int"))
+    order = Window.partitionBy("rep", "tag").orderBy(F.desc("size"), F.desc("key"))
+    kept = hot.withColumn("at", F.row_number().over(order)).join(F.broadcast(allowed), "tag").where("at > allowed").select("key", "rep")
+    kept = materialize(kept, "kept")
+    sized = kept.join(kept.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
+    small = shared.where(F.col("size") <= SMALL).select("key", "rep").unionByName(sized.where(F.col("size") <= SMALL).select("key", "rep"))
+    return small, sized.where(F.col("size") > SMALL).select("key", "rep"), [shared, kept]
+
+
+def _allowed(spark: SparkSession, allowed: list[int]) -> DataFrame:
+    """(tag, allowed): one row for each band and hash."""
+    listed = F.posexplode(F.array(*map(F.lit, allowed))).alias("tag", "allowed")
+    return spark.range(1).select(listed)
+
+
+def _first_groups(small: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From (key, rep) rows: the pairs (a, b) of small groups, and (hub, rep) of large ones.
 
     The hub of a large group is the class that is in most large groups: near copies of a text
     get the same hub in most of their groups, and one that is near to most of them.
     """
-    ranked = Window.partitionBy("key").orderBy("rep")
-    rows = (
-        rows.withColumn("size", F.count("*").over(Window.partitionBy("key")))
-        .where("size > 1")
-        .withColumn("before", F.when(F.col("size") <= SMALL, F.collect_list("rep").over(ranked.rowsBetween(-(SMALL - 1), -1))))
-    )
-    rows = materialize(rows.select("key", "rep", "before"), "groups")
-    pairs = rows.where("size(before) > 0").select(F.explode("before").alias("a"), F.col("rep").alias("b")).distinct()
-    large = rows.where("before is null").select("key", "rep")
+    groups = small.groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("m"))  # of SMALL classes at most
+    each = "flatten(transform(sequence(1, size(m) - 1), i -> transform(slice(m, i + 1, size(m)), y -> struct(m[i - 1] as a, y as b))))"
+    pairs = groups.where("size(m) > 1").select(F.explode(F.expr(each)).alias("p")).select("p.a", "p.b").distinct()
     known = large.join(large.groupBy("rep").agg(F.count("*").alias("groups")), "rep")
     hub = known.groupBy("key").agg(F.max(F.struct("groups", (-F.col("rep")).alias("neg"))).alias("best")).select("key", (-F.col("best.neg")).alias("hub"))
     return pairs, large.join(hub, "key").where("rep != hub").select("hub", "rep").distinct()
@@ -186,12 +212,11 @@ def _own(classes: DataFrame, far: DataFrame, sets: DataFrame, label: DataFrame,
     """As ``_ranked`` with the empty set as hub: the rarest shingles of ``classes``; those in ``far`` are stray, the others near.
 
     Similar sets share num / den of the larger one's shingles, so one of the rarest
-    n - ceil(num / den n) + 1 of both.  Shingles are counted where they are dealt out by hash, and
-    those that one class has alone go no farther.
+    n - ceil(num / den n) + 1 of both.  Shingles that one class has alone go no farther than their count.
     """
     some = sets.join(classes, "rep")
     tokens = some.select("rep", F.explode("elems").alias("token"))
-    shared = tokens.withColumn("n", F.count("*").over(Window.partitionBy("token"))).where("n > 1").join(some.select("rep", F.size("elems").alias("far")), "rep")
+    shared = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "token").join(some.select("rep", F.size("elems").alias("far")), "rep")
     own = Window.partitionBy("rep")
     shared = shared.withColumn("at", F.row_number().over(own.orderBy("n", "token"))).withColumn("rank", F.col("far") - F.count("*").over(own) + F.col("at"))
     shared = shared.withColumn("index_length", F.expr(f"far - (far * cast({num} as long) + {den - 1}) div {den} + 1")).where(F.col("rank") < F.col("index_length") + SPREAD)
@@ -222,9 +247,11 @@ def _not_far(hubs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _mixed_groups(rows: DataFrame) -> DataFrame:
-    """Rows of those keys that a probe and an index row of two components share, with the group's ``size``."""
-    groups = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("least"), F.max("label").alias("most"), F.max("probe").alias("probed"), F.max("index").alias("indexed"))
-    return materialize(rows.join(groups.where("least != most and probed and indexed").select("key", "size"), "key"), "rows")
+    """Rows of those keys that a probe and an index row of two components share, with the group's ``size`` and ``pairs``."""
+    count = {c: F.sum(F.col(c).cast("double")).alias(f"{c}s") for c in ("probe", "index")}
+    groups = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("least"), F.max("label").alias("most"), *count.values())
+    groups = groups.where("least != most and probes > 0 and indexs > 0").select("key", "size", F.expr("probes * indexs").alias("pairs"))
+    return materialize(rows.join(groups, "key"), "rows")
 
 
 def _crossed(rows: DataFrame, partners: DataFrame) -> DataFrame:
@@ -251,14 +278,14 @@ def _better_hubs(large: DataFrame, reps: DataFrame) -> DataFrame:
             now = [parity.about_apart(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(now, pa.float64())], ["other", "rep", "now"])
 
-    now = both.select("other", "rep", "ska", "skb").mapInArrow(run, "other long, rep long, now double")
+    now = both.select("other", "rep", "ska", "skb").mapInArrow(tidy(run), "other long, rep long, now double")
     tried = tried.join(now, ["other", "rep"])
     better = tried.groupBy("key").agg(F.sum("far").alias("was"), F.sum("now").alias("now")).where("now * 4 <= was * 3").select("key")
     return tried.join(better, "key").select("key", F.col("other").alias("hub"), "rep")
 
 
-def _candidates(ranked: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The pairs (a, b) to compare that the hubs leave over, and (hub, rep) for another round."""
+def _candidates(ranked: DataFrame, reps: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) to compare that the hubs leave over, and (hub, rep) for another round; most: of pairs of large groups compared at once."""
     first = ranked.withColumns({"probe": F.expr("not near and rank <= probe_length"), "index": F.expr("rank <= index_length"), "key": F.xxhash64("hub", "token")})
     columns = ["key", "hub", "rep", "label", "far", "rank", "probe", "index", "index_length", "probe_length", "reach", "most"]
     rows = _mixed_groups(first.where("probe or index").select(columns))
@@ -267,17 +294,21 @@ def _candidates(ranked: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFram
     while True:
         bound = SMALL_SHARED * k
         small, large = rows.where(F.col("size") <= bound), rows.where(F.col("size") > bound)
+        # rows of a group share its pairs alike
+        left = large.agg(F.sum(F.expr("pairs / size"))).first()[0]
+        if left is None or left <= most:
+            found = _crossed(rows, rows)
+            pairs = found if pairs is None else pairs.union(found)
+            return pairs.distinct(), ranked.select("hub", "rep").limit(0) if hubs is None else hubs
         found = _crossed(small, small)
         # index rows that cannot promise one more common difference are compared now
         found = found.union(_crossed(large, large.where(f"most <= {k}")))
         pairs = found if pairs is None else pairs.union(found)
-        if large.isEmpty():
-            return pairs.distinct(), ranked.select("hub", "rep").limit(0) if hubs is None else hubs
         if hubs is None:
             better = materialize(_better_hubs(large, reps), "better")
             hubs = better.select("hub", "rep").distinct()
             large = large.join(better.select("key").distinct(), "key", "left_anti")
-        more = large.drop("size").join(spread, ["hub", "rep"]).where("place > rank")
+        more = large.drop("size", "pairs").join(spread, ["hub", "rep"]).where("place > rank")
         more = more.withColumns({
             "probe": F.expr(f"probe and place <= probe_length + {k}"),
             "index": F.expr(f"index and place <= index_length + {k} and most > {k}"),
@@ -299,24 +330,32 @@ def _families(hubs: DataFrame) -> DataFrame:
     return members.join(chosen.select("v", (-F.col("best.neg")).alias("hub")), "v").where("u != hub").select("hub", F.col("u").alias("rep"))
 
 
-def links(docs: DataFrame, reps: DataFrame, rows: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(u, v): the smallest class v of the component of each class u, from (key, rep) rows; docs: (doc_id, text)."""
-    spark = docs.sparkSession
-    pairs, hubs = _first_groups(rows)
+def links(docs: DataFrame, reps: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """(u, v): the smallest class v of the component of each class u; docs: (th, text), reps: rep, th, d1, d2, n, sketch and keys of each class."""
+    spark, most = docs.sparkSession, CROSS * reps.count()
+    small, large, behind = _shared_keys(reps, num, den)
+    free_shuffles(spark)
+    pairs, hubs = _first_groups(small, large)
     near, hubs = _near(pairs, reps, num, den), materialize(hubs, "hubs")
+    for done in behind:
+        discard(done)
     free_shuffles(spark)
     # later rounds have no other classes than these
-    wanted = near.select("a").union(near.select("b")).union(hubs.select("rep")).union(hubs.select("hub")).distinct()
-    wanted = materialize(wanted.withColumnRenamed("a", "doc_id"), "wanted")
-    sets = materialize(_sets(docs.join(if_few(wanted), "doc_id", "left_semi"), size), "sets")
+    wanted = near.select("a").union(near.select("b")).union(hubs.select("rep")).union(hubs.select("hub")).distinct().withColumnRenamed("a", "rep")
+    wanted = materialize(wanted.join(reps.select("rep", "th", "d1", "d2"), "rep"), "wanted")
+    texts = docs.join(if_few(wanted.select("th").distinct()), "th", "left_semi").select("th", "text")
+    of_wanted = _sets(texts, size).join(if_few(wanted.select("rep", "d1", "d2")), ["d1", "d2"]).groupBy("rep").agg(F.first("elems").alias("elems"))
+    sets = materialize(of_wanted, "sets")
     found = _similar(near, sets, num, den)
     free_shuffles(spark)
+    if hubs.isEmpty():
+        return components(found)
     first = _not_far(hubs, reps, num, den)
     everyone = materialize(hubs.select("rep").union(hubs.select("hub")).distinct(), "everyone")
     strays = materialize(hubs.join(first, ["hub", "rep"], "left_anti").select("rep").distinct(), "strays")
     strays = None if strays.isEmpty() else strays
     hubs = materialize(_families(first), "hubs")
-    while strays is not None or not hubs.isEmpty():
+    while True:  # there are hubs, strays or both
         heads, tokens = _apart(hubs, sets, num, den)
         found = components(found.union(heads.where("near").select(F.col("rep").alias("u"), F.col("hub").alias("v"))))
         ranked = _ranked(heads, tokens, found)
@@ -325,11 +364,39 @@ def links(docs: DataFrame, reps: DataFrame, rows: DataFrame, size: int, num: int
             strays = None
         ranked = materialize(ranked, "ranked")
         free_shuffles(spark)
-        pairs, hubs = _candidates(ranked, reps)
+        pairs, hubs = _candidates(ranked, reps, most)
         found = found.union(_similar(_near(pairs, reps, num, den), sets, num, den))
-        hubs = materialize(_families(materialize(hubs, "hubs")), "hubs")
+        hubs = materialize(hubs, "hubs")
+        discard(ranked)
+        if hubs.isEmpty():
+            break
+        hubs = materialize(_families(hubs), "hubs")
         free_shuffles(spark)
-    return components(found)
+    found = components(found)
+    for done in (sets, wanted, near):
+        discard(done)
+    return found
+
+
+def text_hash(text: Column) -> Column:
+    """With a doc_id it names a row's text: the same in every evaluation, whatever the order of rows."""
+    return F.xxhash64(text)
+
+
+def _linked(rows: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From (doc_id, th, text): members (doc_id, th, n, rep), classes (rep, name: its smallest doc_id), and the components (u, v) of classes."""
+    seen = materialize(_profiles(rows, size, num, den), "classes")
+    # one row for each class; equal digests of a hot text meet as one row of each task
+    reps = seen.where("n > 0").groupBy("d1", "d2", "n").agg(
+        F.min("doc_id").alias("name"), F.min("th").alias("th"), F.first("sketch", True).alias("sketch"), F.first("keys", True).alias("keys")
+    )
+    reps = materialize(reps.withColumn("rep", F.monotonically_increasing_id()), "reps")
+    members = seen.select("doc_id", "th", "n", "d1", "d2").join(reps.select("d1", "d2", "n", "rep", "name"), ["d1", "d2", "n"], "left")
+    members = materialize(members.select("doc_id", "th", "n", "rep", "name"), "members")
+    discard(seen)
+    free_shuffles(rows.sparkSession)
+    found = links(rows.select("th", "text"), reps.where("name is not null"), size, num, den)
+    return members, reps.select("rep", "name"), found
 
 
 def similar_documents(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -337,50 +404,51 @@ def similar_documents(docs: DataFrame, size: int = 5, num: int = 80, den: int =
 
     Words are runs of characters that are not white space, after lower-casing A-Z; a set
     holds the distinct shingles of ``size`` words, of a text of fewer words the whole
-    sequence.  Returns one row per input row: doc_id, n_shingles, class_id (smallest doc_id of
-    the same set) and component_id (smallest doc_id reachable by links, itself included).
+    sequence.  Ids may be of any type that has an order.  Returns one row per input row:
+    doc_id, n_shingles, class_id (smallest doc_id of the same set) and component_id (smallest
+    doc_id reachable by links, itself included).
 
     Null and empty texts have no shingles and are linked with nothing.  A row whose doc_id is
     null is named by its class where another row of it has an id; it links nothing itself.
     Rows that repeat a doc_id are one document: a link of one is a link of all.  An empty
     table gives an empty result; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    seen = materialize(_classes(rows, size, num, den), "classes")
-    # one row for each class; equal digests of a hot text meet as one row of each task
-    reps = materialize(seen.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "reps")
-    members = materialize(
-        seen.where("n > 0").drop("sketch").join(reps.drop("sketch"), ["d1", "d2", "n"], "left").select("doc_id", "n", "rep")
-        .unionByName(seen.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("rep"))),
-        "members",
-    )
-    by_doc = members.where("n > 0 and doc_id is not null").select("doc_id", "rep").distinct()
-    grouped = _keys(rows, size, num, den).withColumn("hub", F.first("node").over(Window.partitionBy("key").orderBy("node"))).where("node != hub")
-    grouped = materialize(grouped.select("key", "node", "hub"), "grouped")
-    free_shuffles(docs.sparkSession)
-    nodes = grouped.select("key", "node").union(grouped.select("key", F.col("hub").alias("node"))).distinct()
-    keyed = materialize(nodes.join(by_doc.withColumnRenamed("doc_id", "node"), "node").select("key", "rep").distinct(), "keyed")
-    discard(grouped)
-    free_shuffles(docs.sparkSession)
-    found = links(rows, reps.select("rep", "n", "sketch"), keyed, size, num, den)
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    members, classes, found = _linked(rows, size, num, den)
+    by_doc = members.where("n > 0 and doc_id is not null").select("doc_id", "rep")
     twice = by_doc.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("u")).where("u != v")
     if not twice.isEmpty():  # rows of one doc_id in several classes
         again = by_doc.join(twice, "doc_id").select(F.col("rep").alias("u"), "v")
         found = components(found.union(again))
-    return (
-        members.join(found.withColumnRenamed("u", "rep"), "rep", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("v", "rep").alias("component_id"))
+    nodes = found.select(F.col("u").alias("rep"), "v").union(found.select("v", F.col("v").alias("v2")).distinct())
+    named = nodes.join(classes, "rep").groupBy("v").agg(F.min("name").alias("component"))
+    names = materialize(nodes.join(named, "v").select("rep", "component"), "names")
+    return members.join(names, "rep", "left").select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.when(F.col("n") > 0, F.coalesce("component", "name")).otherwise(F.col("doc_id")).alias("component_id"),
     )
 
 
 def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one row of each component, that of the smallest doc_id; rows without a component stay.
+    """``docs`` with one row of each component of similar texts, that of the smallest doc_id; rows without a doc_id stay.
 
-    Of rows that repeat that doc_id one stays.
+    Rows count one by one: where rows repeat a doc_id with texts of their own, each belongs to
+    its own text's component.  Of rows of one component that share the smallest doc_id, the text
+    with the smallest hash stays, and of rows equal in both any single one.  Rows are told by
+    doc_id and a hash of the text, so the result is right for any input, however it is read.
     """
-    found = materialize(similar_documents(docs, size, num, den), "similar")
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    out = docs.join(if_few(gone), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return out
-    return out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
+    own = docs.withColumn("__th", text_hash(F.col("text")))
+    rows = own.select("doc_id", F.col("__th").alias("th"), "text")
+    members, _, found = _linked(rows, size, num, den)
+    named = members.where("n > 0 and doc_id is not null").join(found.withColumnRenamed("u", "rep"), "rep", "left").select("doc_id", "th", F.coalesce("v", "rep").alias("component"))
+    best = named.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("best"), F.count("*").alias("n")).where("n > 1").select("component", "best")
+    marked = named.join(best, "component").withColumn("stays", (F.col("doc_id") == F.col("best.doc_id")) & (F.col("th") == F.col("best.th")))
+    marked = materialize(marked.groupBy("doc_id", "th").agg(F.max("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"), "marked")
+    gone, again = marked.where("not stays").select("doc_id", F.col("th").alias("__th")), marked.where("stays").select("doc_id", F.col("th").alias("__th"))
+    left = own.join(if_few(gone), ["doc_id", "__th"], "left_anti")
+    if not again.isEmpty():
+        few = if_few(again)
+        left = left.join(few, ["doc_id", "__th"], "left_anti").unionByName(left.join(few, ["doc_id", "__th"], "left_semi").dropDuplicates(["doc_id", "__th"]))
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -12,6 +12,13 @@ or fewer gives no key for them: one of the 1 + e equal blocks is not weak.  A se
 gives another hash's keys too, and a pair that has only weak blocks in common consists of
 two such sets, so it meets under that hash.  The last hash gives a key to every block, empty
 ones too.  So no pair is lost.
+
+Sets that hold a common passage share the keys of blocks that the passage alone fills.  Against
+these, sketches are cut into h blocks more, so that 1 + h equal blocks at least are not weak
+(under the last hash: 1 + h + e, weak ones counted), and each set may do without the h keys
+(under the last hash h + e) that most sets have, in an order of all keys that every set goes
+by: the rarest of the keys that two similar sets share has h others behind it in both sets'
+order, so neither goes without it.  The low bits of a key, its tag, say which band and hash it is of.
 """
 
 from __future__ import annotations
@@ -28,6 +35,10 @@ WIDEN = 3
 SEEDS = 3
 #: A block of this many shingles on average may ask for 1, 2 or 3 of them, so as not to be weak.
 ENOUGH = (0, 5, 7)
+#: Of a sketch's blocks one in so many is there for keys that a set may do without; deviations beyond the expected number of weak blocks.
+MORE, SURE = 6, 1.5
+#: Bits of a key that name its band and hash.
+TAG_BITS = 12
 _U = np.uint64
 _SEED = [_U(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)]
 
@@ -39,28 +50,39 @@ def most_apart(a: int, b: int, num: int, den: int) -> int:
 
 @lru_cache(maxsize=8)
 def bands(num: int, den: int, limit: int = 1 << 33) -> tuple[np.ndarray, ...]:
-    """Bands of sizes: lowest, highest, blocks, weak blocks allowed, shingles asked of a block; similar sets have a band in common."""
+    """Bands of sizes: lowest, highest, blocks, weak blocks allowed, keys a set may do without, shingles asked of a block; similar sets have a band in common."""
     out, low = [], 1
     same = -(-(den + num) // (2 * (den - num))) - 1  # up to this size similar sets are equal
     while low < limit:
         high = max(low, low * den**WIDEN // num**WIDEN, same if low <= same else 0)
         d = most_apart(high, high, num, den)
-        mean = low / (d + 1)
-        least = sum(mean >= x for x in ENOUGH)
-        weak = (d + 1) * sum(math.exp(-mean) * mean**k / math.factorial(k) for k in range(least))
-        spare = min(math.ceil(weak + 2 * math.sqrt(weak)), (d + 1) // 3 + 1) if d else 0
-        out.append((low, high, d + 1 + spare, spare, least))
+        more = (d + 1) // MORE
+        base, spare, least = d + 1 + more, 0, sum(low / (d + 1 + more) >= x for x in ENOUGH)
+        for _ in range(20 if d else 0):  # blocks for weak ones make blocks weaker
+            b = base + spare
+            mean = low / b
+            weak = b * sum(math.exp(-mean) * mean**k / math.factorial(k) for k in range(least))
+            spare = min(math.ceil(weak + SURE * math.sqrt(weak)), base)
+        out.append((low, high, base + spare, spare, more, least))
         low = max(low + 1, -(-num * (high + 1) // den))
+    if len(out) * SEEDS >> TAG_BITS:
+        raise ValueError("sets so similar need more bands than a key's tag can name")
     return tuple(np.array(x, np.int64) for x in zip(*out, strict=True))
 
 
+def allowances(num: int, den: int) -> list[int]:
+    """For each tag, how many of a set's keys with that tag, those that most sets have, it may do without."""
+    _, _, _, spare, more, _ = bands(num, den)
+    return [int(more[j] + (spare[j] if seed == SEEDS - 1 else 0)) for j in range(len(more)) for seed in range(SEEDS)]
+
+
 def keys(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
     """The join keys of one set, from its distinct shingle hashes.
 
     Sets so small that only equal ones are similar have no keys.
     """
     n = len(shingles)
-    low, high, blocks, spare, least = bands(num, den)
+    low, high, blocks, spare, _, least = bands(num, den)
     found = [shingles[:0]]
     for j in range(int(np.searchsorted(high, n)), int(np.searchsorted(low, n, "right"))):
         b = int(blocks[j])
@@ -68,6 +90,7 @@ def keys(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
             continue
         for seed in range(SEEDS):
             last = seed == SEEDS - 1
+            tag = _U(j * SEEDS + seed)
             g = mix(shingles ^ _SEED[seed])
             at = ((g >> _U(32)) * _U(b)) >> _U(32)
             order = np.argsort(at.astype(np.uint16 if b < 65536 else np.uint64), kind="stable")
@@ -81,7 +104,7 @@ def keys(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
             else:
                 full = np.diff(first, append=len(at)) >= least[j]
                 of_block, block = of_block[full], block[full]
-            found.append(mix(of_block ^ mix(block + _U((j * SEEDS + seed) << 40))))
+            found.append(mix(of_block ^ mix(block + (tag << _U(40)))) >> _U(TAG_BITS) << _U(TAG_BITS) | tag)
             if len(block) >= b - spare[j]:
                 break
     return np.concatenate(found)

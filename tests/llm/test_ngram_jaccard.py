@@ -89,3 +89,53 @@ def test_keys_lose_no_pair():
                 if 100 * same >= num * (len(a) + len(b) - same) and apart:
                     assert np.intersect1d(parity.keys(a, num, 100), parity.keys(b, num, 100)).size
                     assert parity.hamming(parity.sketch(a, num, 100), parity.sketch(b, num, 100)) <= len(a) + len(b) - 2 * same
+
+
+@pytest.mark.parametrize("small, shared, spread, cross", [(2, 1, 1, 0), (1, 2, 2, 0)])
+def test_every_way_of_comparing(spark, monkeypatch, small, shared, spread, cross):
+    """Bounds so low that hubs, strays, better hubs and spreading are all gone through."""
+    for name, value in (("SMALL", small), ("SMALL_SHARED", shared), ("SPREAD", spread), ("CROSS", cross)):
+        monkeypatch.setattr(N, name, value)
+    docs = corpus(5, 3, (14,))
+    got = N.similar_documents(spark.createDataFrame(docs, "doc_id long, text string"), 3, 90, 100)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(docs, 3, 90, 100)
+
+
+def test_ids_of_another_type_and_long_texts(spark):
+    long = " ".join(f"w{k}" for k in range(90_000))  # more than two pieces of W.PIECE bytes
+    docs = [("b", long), ("a", long.replace("w77 ", "v ")), ("c", "other words altogether here"), ("d", " ".join(f"x{k}" for k in range(90_000)))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.similar_documents(spark.createDataFrame(docs, "doc_id string, text string"), 3, 90, 100).collect()}
+    assert got == {"a": (89_998, "a"), "b": (89_998, "a"), "c": (2, "c"), "d": (89_998, "d")}
+
+
+def test_one_of_each_tells_rows_by_their_texts(spark):
+    a, b = "a b c d e f g", "t u v w x y z"
+    docs = [(5, a, 1), (5, b, 2), (3, b, 3), (4, a + "  ", 4), (4, a, 5), (9, "a  b c d e f g", 6), (9, "a  b c d e f g", 7)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, n int").repartition(7).withColumn("__s", N.F.rand(3)).repartition(3, "__s").drop("__s")
+    out = sorted((r.doc_id, r.text.strip()) for r in N.one_of_each(frame).collect())
+    # of the texts a one row of doc_id 4 stays, the smallest; of the texts b that of doc_id 3
+    assert out == [(3, b), (4, a)]
+
+
+def test_what_sets_may_do_without():
+    """Similar sets still share a key when each leaves out as many as allowed of those that come last in any common order."""
+    rnd = np.random.default_rng(1)
+    for num in (80, 90):
+        allowed = parity.allowances(num, 100)
+        for n in (12, 40, 150, 900):
+            for _ in range(12):
+                a = np.unique(rnd.integers(0, 2**63, n, dtype=np.uint64))
+                apart = parity.most_apart(n, n, num, 100)
+                b = np.unique(np.concatenate((a[apart // 2 :], rnd.integers(0, 2**63, apart // 2, dtype=np.uint64))))
+                same = len(np.intersect1d(a, b))
+                if 100 * same < num * (len(a) + len(b) - same) or not apart:
+                    continue
+                left = []
+                common = set(parity.keys(a, num, 100).tolist()) & set(parity.keys(b, num, 100).tolist())
+                for s in (a, b):
+                    by_tag = {}
+                    for k in parity.keys(s, num, 100).tolist():
+                        by_tag.setdefault(k & (1 << parity.TAG_BITS) - 1, []).append(k)
+                    # the worst order: the shared keys are the commonest
+                    left.append({k for t, ks in by_tag.items() for k in sorted(ks, key=lambda k: (k in common, k))[: len(ks) - allowed[t]]})
+                assert left[0] & left[1]
