@@ -20,13 +20,18 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from lakefinder.llm.arrow import tidy
+
 #: Added to the code point of a word's last atom.
 LAST = 0x1000
 NO_TOKEN = -1
-#: Words whose ids a worker remembers; beyond that it forgets all of them and starts anew.
-REMEMBERED = 1_000_000
+#: About how many bytes of words with their ids, and how many pairs, a worker remembers; beyond that it forgets them and starts anew.
+REMEMBERED_BYTES, REMEMBERED_PAIRS = 12 << 20, 100_000
+#: Words of more characters are not remembered, and what a remembered one takes besides its characters and ids.
+LONGEST, ENTRY = 40, 180
 
 
 def byte_characters() -> dict[str, int]:
@@ -68,13 +73,13 @@ class Tables:
             self.atoms.append(at)
             self.left.append(rank[t])
             self.right.append(rank[t])
-        self.pairs: dict[tuple[int, int], int] = {}
+        self.pairs: dict[int, int] = {}
         for a, b in merges:
             t = a + b
             if t in rank or a not in rank or b not in rank:
                 raise ValueError(f"a token has two merges, or parts that come later: {a!r} {b!r}")
             rank[t] = len(self.ids)
-            self.pairs[rank[a], rank[b]] = rank[t]
+            self.pairs[rank[a] << 32 | rank[b]] = rank[t]
             self.ids.append(vocab[t])
             self.atoms.append(atoms(t))
             self.left.append(rank[a])
@@ -88,7 +93,7 @@ class Tables:
         """
         limit = 1 << 60
         while True:
-            across = self.pairs.get((one, two))
+            across = self.pairs.get(one << 32 | two)
             if across is not None and across < limit:
                 return False
             if one > two:
@@ -120,14 +125,15 @@ class Encoder:
         self.back.make_automaton()
         number = {a: r for r, a in enumerate(tables.atoms)}
         self.shorter = [next((number[a[:n]] for n in range(len(a) - 1, 0, -1) if a[:n] in number), NO_TOKEN) for a in tables.atoms]
-        self.seen: dict[tuple[int, int], bool] = {}
+        self.seen: dict[int, bool] = {}
 
     def fits(self, one: int, two: int) -> bool:
-        found = self.seen.get((one, two))
+        pair = one << 32 | two
+        found = self.seen.get(pair)
         if found is None:
-            if len(self.seen) > REMEMBERED:
+            if len(self.seen) >= REMEMBERED_PAIRS:
                 self.seen.clear()
-            found = self.seen[one, two] = self.t.compatible(one, two)
+            found = self.seen[pair] = self.t.compatible(one, two)
         return found
 
     def encode(self, word: bytes) -> list[int]:
@@ -163,6 +169,25 @@ class Encoder:
         return [ids[r] for r in out]
 
 
+class Memory:
+    """Words and their ids, of about ``REMEMBERED_BYTES`` at most."""
+
+    def __init__(self, encode):
+        self.encode, self.known, self.size = encode, {}, 0
+
+    def __call__(self, word: str) -> bytes:
+        found = self.known.get(word)
+        if found is None:
+            found = np.array(self.encode(word), "<u4").tobytes()
+            if len(word) <= LONGEST:
+                self.size += ENTRY + len(word) + len(found)
+                if self.size > REMEMBERED_BYTES:
+                    self.known.clear()
+                    self.size = ENTRY + len(word) + len(found)
+                self.known[word] = found
+        return found
+
+
 #: Letters that need no normalising but lower-casing, and what else may stand in a text that takes the short way.
 LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-įĲ-ňŊ-ž"
 PLAIN = re.compile(f"[\t\n\r !-~\xa1-\xa9\xab-\xac\xae-\xb1\xb4\xb6-\xb8\xbb\xbf\xd7\xf7{LETTERS}]*")
@@ -182,28 +207,15 @@ class TextEncoder:
         self.encoder, self.chars = Encoder(tables), byte_characters()
         self.special = {t: np.array([i], "<u4").tobytes() for t, i in special.items()}
         self.around = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.words: dict[str, bytes] = {}
-        self.other: dict[str, bytes] = {}
+        self.plain = Memory(lambda w: self.encoder.encode(w.encode()))
+        self.other = Memory(lambda w: self.encoder.encode(bytes(self.chars[c] for c in w)))
 
     def _plain(self, text: str) -> Iterator[bytes]:
-        words = self.words
-        for w in PRETOKEN.findall(text.lower()):
-            found = words.get(w)
-            if found is None:
-                if len(words) >= REMEMBERED:
-                    words.clear()
-                found = words[w] = np.array(self.encoder.encode(w.encode()), "<u4").tobytes()
-            yield found
+        return map(self.plain, PRETOKEN.findall(text.lower()))
 
     def _any(self, text: str) -> Iterator[bytes]:
         """Other texts go through the library's own normaliser and pre-tokeniser; the merges are ours."""
-        for w, _ in self.cut.pre_tokenize_str(self.normalise.normalize_str(text)):
-            found = self.other.get(w)
-            if found is None:
-                if len(self.other) >= REMEMBERED:
-                    self.other.clear()
-                found = self.other[w] = np.array(self.encoder.encode(bytes(self.chars[c] for c in w)), "<u4").tobytes()
-            yield found
+        return (self.other(w) for w, _ in self.cut.pre_tokenize_str(self.normalise.normalize_str(text)))
 
     def encode(self, text: str | None) -> np.ndarray:
         out: list[bytes] = []
@@ -246,29 +258,48 @@ def load(path: str) -> tuple[Tables, str, dict[str, int], dict[str, int]]:
     return tables, json.dumps(rest), special, model["vocab"] | special
 
 
-def encode_documents(docs: DataFrame, path: str, text_col: str = "text", decoded: bool = False, digests: bool = False) -> DataFrame:
+#: The encoder and decoder of this process, by the digest of their file: workers outlive tasks, and building takes a second.
+_made: dict[str, tuple[TextEncoder, Decoder]] = {}
+
+
+def coders(shared: Broadcast, name: str) -> tuple[TextEncoder, Decoder]:
+    if name not in _made:
+        _made.clear()
+        tables, spec, special, vocab = shared.value
+        _made[name] = TextEncoder(tables, spec, special), Decoder(vocab)
+    return _made[name]
+
+
+def digest(path: str) -> str:
+    with open(path, "rb") as f:
+        return hashlib.sha256(f.read()).hexdigest()
+
+
+def encode_documents(docs: DataFrame, path: str, text_col: str = "text", decoded: bool = False, digests: bool = False, counts: bool = False) -> DataFrame:
     """Add to ``docs`` (without its text) the ids of the text, or their digests.
 
     path: a tokenizers file with a BPE model of bytes whose words end in a suffix, readable on
     the driver; its tables (a vocabulary, of a fixed size) are broadcast.  Adds ``n_tokens``,
     and ``ids`` (array<int>) or, with ``digests``, ``ids_sha256`` and ``decoded_sha256``
     (SHA-256 of the ids as little-endian 32-bit integers and of the decoded text); with
-    ``decoded`` also the text ``decoded``.
+    ``counts`` ``n_tokens`` alone; with ``decoded`` also the text ``decoded``.
 
     Special tokens' strings in a text are encoded as those tokens.  A null or empty text has
     no ids and decodes to the empty text.  Repeated rows are encoded singly.  A column that
     has the name of an added one is replaced.
     """
     added = {"n_tokens": ("long", pa.int64())}
-    added |= {"ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())} if digests else {"ids": ("array<int>", pa.list_(pa.int32()))}
+    if digests:
+        added |= {"ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
+    elif not counts:
+        added |= {"ids": ("array<int>", pa.list_(pa.int32()))}
     added |= {"decoded": ("string", pa.string())} if decoded else {}
     kept = [f for f in docs.schema if f.name != text_col and f.name not in added]
     schema = T.StructType([*kept, *T.StructType.fromDDL(", ".join([f"{k} {v[0]}" for k, v in added.items()]))])
-    shared = docs.sparkSession.sparkContext.broadcast(load(path))
+    shared, name = docs.sparkSession.sparkContext.broadcast(load(path)), digest(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, spec, special, vocab = shared.value
-        encoder, decoder = TextEncoder(tables, spec, special), Decoder(vocab)
+        encoder, decoder = coders(shared, name)
         for batch in batches:
             out: dict[str, list] = {k: [] for k in added}
             for text in batch.column(len(kept)):
@@ -277,17 +308,21 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text", decoded
                 if digests:
                     out["ids_sha256"].append(hashlib.sha256(ids.tobytes()).hexdigest())
                     out["decoded_sha256"].append(hashlib.sha256(decoder.decode(ids)).hexdigest())
-                else:
+                elif not counts:
                     out["ids"].append(ids.astype(np.int32))
                 if decoded:
                     out["decoded"].append(decoder.decode(ids).decode())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *(pa.array(out[k], t) for k, (_, t) in added.items())], [*(f.name for f in kept), *added])
 
-    return docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(text_col).alias("__text")).mapInArrow(tidy(run), schema)
 
 
 def decode_ids(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """Replace the ids by the text they decode to, ``decoded`` (null ids: null)."""
+    """Replace the ids by the text they decode to, ``decoded`` (null ids: null; none: the empty text).
+
+    Repeated rows are decoded singly, an empty table gives an empty result, and a column named
+    ``decoded`` is replaced; others stay.
+    """
     kept = [f for f in rows.schema if f.name not in (ids_col, "decoded")]
     schema = T.StructType([*kept, *T.StructType.fromDDL(", ".join(["decoded string"]))])
     shared = rows.sparkSession.sparkContext.broadcast(load(path)[3])
@@ -298,4 +333,4 @@ def decode_ids(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
             texts = [None if x is None else decoder.decode(np.array(x, np.int64)).decode() for x in batch.column(len(kept)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(texts, pa.string())], [*(f.name for f in kept), "decoded"])
 
-    return rows.select(*(F.col(f"`{f.name}`") for f in kept), F.col(ids_col).alias("__ids")).mapInArrow(run, schema)
+    return rows.select(*(F.col(f"`{f.name}`") for f in kept), F.col(ids_col).alias("__ids")).mapInArrow(tidy(run), schema)

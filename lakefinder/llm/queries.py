@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lakefinder.llm.arrow import bound_batches
 from lakefinder.llm import bpe, decontaminate, dedup, langid, ngram_jaccard, pii, quality, sharding, token_counts, toxicity
 
 
-#: Rows of texts in one Arrow batch: texts can be long, and a Python worker holds a batch at a time.
-BATCH_ROWS = 2000
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """A table of the given folder; bounds Arrow batches in the session."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

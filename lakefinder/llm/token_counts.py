@@ -17,8 +17,12 @@ BLOCK_BITS = 14
 
 
 def token_lengths(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """The number of tokens of each text, ``n_tokens``, by the tokenizers file at ``path``; null counts 0."""
-    return bpe.encode_documents(docs.select(text_col), path, text_col).select("n_tokens")
+    """The number of tokens of each text, ``n_tokens``, by the tokenizers file at ``path``.
+
+    A null or empty text counts 0; rows are counted singly; an empty table gives no rows; other
+    columns are left out.
+    """
+    return bpe.encode_documents(docs.select(text_col), path, text_col, counts=True)
 
 
 def length_histogram(lengths: DataFrame, col: str = "n_tokens") -> DataFrame:

@@ -67,3 +67,30 @@ def test_histogram(spark, monkeypatch):
     q = {r.q: r.length for r in token_counts.quantiles(h, [0.0, 0.5, 0.9, 1.0]).collect()}
     assert q == {0.0: 0, 0.5: 3, 0.9: 8, 1.0: 21}
     assert token_counts.length_histogram(spark.createDataFrame([], "n_tokens long")).count() == 0
+
+
+def test_decoding_of_nulls_none_and_clashing_columns(spark):
+    rows = [(1, None, "x"), (2, [], "y"), (3, [320], "z"), (3, [320], "z")]
+    frame = spark.createDataFrame(rows, "doc_id long, ids array<int>, decoded string")
+    got = sorted((r.doc_id, r.decoded) for r in bpe.decode_ids(frame, PATH).collect() if r.decoded is not None)
+    assert got[0] == (2, "") and got[1] == got[2] and got[1][0] == 3 and got[1][1]
+    assert bpe.decode_ids(frame, PATH).where("decoded is null").count() == 1
+    assert bpe.decode_ids(frame.limit(0), PATH).count() == 0
+
+
+def test_lengths_with_clashing_columns(spark, whole):
+    rows = [("it's a word", 5), (None, 6), ("", 7), ("it's a word", 8)]
+    got = token_counts.token_lengths(spark.createDataFrame(rows, "text string, n_tokens int"), PATH)
+    n = len(whole.encode("it's a word", add_special_tokens=False).ids)
+    assert got.columns == ["n_tokens"] and sorted(r.n_tokens for r in got.collect()) == [0, 0, n, n]
+    assert token_counts.token_lengths(spark.createDataFrame([], "text string"), PATH).count() == 0
+
+
+def test_memory_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 2000)
+    memory = bpe.Memory(lambda w: [len(w)] * 3)
+    for k in range(500):
+        assert np.frombuffer(memory(f"word{k}"), "<u4").tolist() == [len(f"word{k}")] * 3
+        assert len(memory.known) * bpe.ENTRY <= 2000
+    memory("x" * (bpe.LONGEST + 1))
+    assert "x" * (bpe.LONGEST + 1) not in memory.known
