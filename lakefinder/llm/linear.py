@@ -13,9 +13,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from lakefinder.llm.arrow import give_back, tidy
 from lakefinder.llm import words as W
+from lakefinder.scratch import discard, materialize
 
 _U = np.uint64
+#: Rows of the fitting sample that must have a column for it to be learnt.
+LEAST_ROWS = 2
 
 #: Reads the columns of all features, with repeats, of the words of a piece: (document, column) arrays.
 Features = Callable[[W.Words, int], tuple[np.ndarray, np.ndarray]]
@@ -75,22 +79,59 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int, fo
 
 
 def sample_matrix(sample: DataFrame, features: Features, bits: int, cased: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bounded sample as a sparse matrix on the driver: offsets, columns, labels; in a fixed order."""
+    """The bounded sample as a sparse matrix on the driver: offsets, columns, labels; in a fixed order.
+
+    Only columns that ``LEAST_ROWS`` rows or more of the sample have are kept: what one text alone
+    has teaches nothing of others, and is most of what there is.  They are counted where the rows
+    are, so the driver gets 2**bits numbers at most, and then rows without the rare columns.
+    """
+    sample = materialize(sample, "sample")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << bits, np.int32)
+        for batch in batches:
+            for _, _, cols in rows(batch.column(0), features, bits, cased):
+                n += np.bincount(cols, minlength=1 << bits).astype(np.int32)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some], pa.int32())], ["col", "n"])
+
+    frequent = sample.mapInArrow(tidy(count), "col int, n int").groupBy("col").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_ROWS).select("col")
+    used = np.zeros(1 << bits, bool)
+    used[frequent.toArrow().column(0).to_numpy()] = True
+    shared = sample.sparkSession.sparkContext.broadcast(np.packbits(used))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             done = 0
-            for n, offs, cols in rows(batch.column(0), features, bits, cased):
+            for n, offs, cols in rows(batch.column(0), features, bits, cased, used):
                 lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(cols.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([lists, *(batch.column(k).slice(done, n) for k in (1, 2, 3))], ["cols", "y", "place", "doc_id"])
                 done += n
 
-    found = sample.mapInArrow(run, "cols array<int>, y int, place long, doc_id long").toArrow().sort_by([("place", "ascending"), ("doc_id", "ascending")])
+    found = sample.mapInArrow(tidy(run), T.StructType([*T.StructType.fromDDL("cols array<int>, y int, place long"), sample.schema["doc_id"]])).toArrow().sort_by([("place", "ascending"), ("doc_id", "ascending")])
+    shared.destroy()
+    discard(sample)
     lists = found.column(0).combine_chunks()
     if isinstance(lists, pa.ChunkedArray):
         lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
     offs = np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)))) if len(lists) else np.zeros(1, np.int64)
-    return offs, lists.flatten().to_numpy(zero_copy_only=False), found.column(1).to_numpy().astype(np.int64)
+    got = offs, lists.flatten().to_numpy(zero_copy_only=False).copy(), found.column(1).to_numpy().astype(np.int64)
+    del found, lists
+    give_back()
+    return got
+
+
+def packed(values: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """A mostly empty array as its length, the places that are not 0, and what stands there."""
+    at = np.flatnonzero(values).astype(np.int32)
+    return len(values), at, values[at]
+
+
+def unpacked(size: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+    out = np.zeros(size, values.dtype)
+    out[at] = values
+    return out
 
 
 def some_rows(offs: np.ndarray, cols: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +164,7 @@ def platt(margin: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, f
 def score(docs: DataFrame, features: Features, bits: int, cased: bool, model, text_col: str = "text", out: str = "score", keep_text: bool = False) -> DataFrame:
     """``docs`` (without its text, unless that is to be kept) with ``out``: ``model.scores(offsets, columns)`` of whole texts.
 
-    The model, arrays of 2**bits numbers at most, is broadcast.
+    The model is broadcast: those of its 2**bits numbers that are not 0.
     """
     kept = [f for f in docs.schema if f.name != out and (keep_text or f.name != text_col)]
     schema = T.StructType([*kept, T.StructField(out, T.DoubleType())])
@@ -138,4 +179,4 @@ def score(docs: DataFrame, features: Features, bits: int, cased: bool, model, te
             got = np.concatenate(found) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name)) for f in kept), pa.array(got, pa.float64())], schema.names)
 
-    return docs.drop(out).mapInArrow(run, schema)
+    return docs.drop(out).mapInArrow(tidy(run), schema)

@@ -46,11 +46,13 @@ def features(w: W.Words, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def log_count_ratio(offs: np.ndarray, cols: np.ndarray, y: np.ndarray, bits: int, smooth: float = 1.0) -> np.ndarray:
-    """log((n1 + s) / |n1 + s|) - log((n0 + s) / |n0 + s|) for each column, of the rows that have it."""
+    """log((n1 + s) / |n1 + s|) - log((n0 + s) / |n0 + s|) for each column, of the rows that have it; 0 for a column that no row has."""
     label = np.repeat(y, np.diff(offs))
     n1 = np.bincount(cols[label == 1], minlength=1 << bits) + smooth
     n0 = np.bincount(cols[label == 0], minlength=1 << bits) + smooth
-    return np.log(n1 / n1.sum()) - np.log(n0 / n0.sum())
+    ratio = np.log(n1 / n1.sum()) - np.log(n0 / n0.sum())
+    ratio[n1 + n0 == 2 * smooth] = 0.0
+    return ratio
 
 
 def dual_coordinate_descent(offs: np.ndarray, cols: np.ndarray, y: np.ndarray, scale: np.ndarray, c: float = 0.1, rounds: int = 10, seed: int = 1) -> tuple[np.ndarray, float]:
@@ -93,8 +95,17 @@ class Model:
     a: float
     b: float
 
-    def used(self) -> None:
-        """Every column counts, if only for the length of the row."""
+    def __getstate__(self) -> tuple:
+        """What is sent is the columns that were learnt."""
+        return linear.packed(self.weights), linear.packed(self.ratio), self.bias, self.a, self.b
+
+    def __setstate__(self, state: tuple) -> None:
+        weights, ratio, self.bias, self.a, self.b = state
+        self.weights, self.ratio = linear.unpacked(*weights), linear.unpacked(*ratio)
+
+    def used(self) -> np.ndarray:
+        """Columns with a ratio count, if only for the length of the row."""
+        return self.ratio != 0
 
     def margins(self, offs: np.ndarray, cols: np.ndarray) -> np.ndarray:
         sums = np.concatenate(([0.0], np.cumsum(self.weights[cols])))
