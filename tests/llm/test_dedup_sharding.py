@@ -74,3 +74,20 @@ def test_sharding(spark, n_shards):
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert dedup.exact_dedup(none).count() == 0 and sharding.shard_by_bytes(none).count() == 0
+
+
+def test_drop_copies_of_any_input(spark):
+    """The rows that stay are one of each text, however the input comes: shuffled, joined, with columns more."""
+    rnd = random.Random(4)
+    docs = [(rnd.choice([None, k % 400]), rnd.choice(["", " ", "a"]) * rnd.randrange(3) + f"text {rnd.randrange(250)}" + " " * rnd.randrange(3), k) for k in range(900)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, n int")
+    other = spark.range(900).selectExpr("cast(id as int) AS n", "cast(id * 3 as string) AS sha", "id % 7 AS raw")
+    want = {}
+    for i, t, _ in docs:
+        body = re.sub(r"[\x20\x09-\x0D]", "", t)
+        want[body] = min(want.get(body, (0, True, 0)), (-len(t), i is None, i or 0))
+    for given in (frame.repartition(7), frame.repartition(5, "n").join(other, "n"), frame.join(other, "n").repartition(9).where("n >= 0")):
+        out = dedup.drop_copies(given)
+        assert out.columns == given.columns
+        got = out.collect()
+        assert {re.sub(r"[\x20\x09-\x0D]", "", r.text): (-len(r.text), r.doc_id is None, r.doc_id or 0) for r in got} == want and len(got) == len(want)
