@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from lakefinder.operators import ranks
+
 CUTS = (1, 3, 5, 10, 20)
 
 
@@ -96,21 +98,30 @@ def truth_frequency(truth: DataFrame, k: int = 10) -> DataFrame:
     return truth.groupBy("query_table").agg(F.count("*").alias("n_matches")).orderBy(F.desc("n_matches"), "query_table").limit(k)
 
 
-def latencies(log: DataFrame, group: str, value: str = "seconds", at: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
+def latencies(log: DataFrame, group: str, value: str = "seconds", at: tuple[float, ...] = (0.5, 0.9, 0.99), slow: float | None = None, failed: str | None = None) -> DataFrame:
     """Per group: count, mean, and the values at floor(n * q) of the sorted ones; the largest for 0.99 of fewer than 100.
 
-    The wanted places are found by rank, so no group's values gather in an array.
+    Equal values are counted before they move, and places are found by prefix sums (``ranks``), so
+    no group is a task of its own.  With ``slow`` also ``n_slow``, how many took longer; with
+    ``failed``, a boolean column, ``success_rate``; and ``qps``, the count over the sum of the values.
+    Null values are left out; a group that has no others, or a null name, is left out too.
     """
-    ranks = Window.partitionBy(group).orderBy(value)
-    placed = log.withColumn("at", F.row_number().over(ranks) - 1)
-    sizes = log.groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.max(value).alias("most"))
-    both = placed.join(sizes, group)
-    place = lambda q: F.floor(F.col("n") * F.lit(q))
-    cols = [F.max(F.when(F.col("at") == place(q), F.col(value))).alias(f"p{round(q * 100)}") for q in at]
-    out = both.groupBy(group).agg(F.max("n").alias("n"), F.round(F.max("mean"), 6).alias("mean"), F.max("most").alias("most"), *cols)
+    rows = log.where(F.col(value).isNotNull() & F.col(group).isNotNull())
+    counted = rows.groupBy(group, F.col(value).alias("__value")).agg(F.count("*").alias("n"))
+    sizes = rows.groupBy(group).agg(
+        F.count("*").alias("__all"),
+        F.avg(value).alias("__mean"),
+        F.max(value).alias("__most"),
+        *([F.sum((F.col(value) > slow).cast("long")).alias("n_slow")] if slow is not None else []),
+        *([(1 - F.avg(F.coalesce(F.col(failed), F.lit(False)).cast("double"))).alias("success_rate"), (F.count("*") / F.sum(value)).alias("qps")] if failed else []),
+    )
+    more = (["n_slow"] if slow is not None else []) + (["success_rate", "qps"] if failed else [])
+    both = ranks.placed(counted, [group], "__value").join(sizes, group)
+    cols = [ranks.value_at(F.floor(F.col("__all") * F.lit(q)), "__value").alias(f"p{round(q * 100)}") for q in at]
+    out = both.groupBy(group).agg(F.max("__all").alias("n"), F.round(F.max("__mean"), 6).alias("mean"), F.max("__most").alias("__most"), *cols, *(F.max(c).alias(c) for c in more))
     if 0.99 in at:
-        out = out.withColumn("p99", F.when(F.col("n") < 100, F.col("most")).otherwise(F.col("p99")))
-    return out.drop("most")
+        out = out.withColumn("p99", F.when(F.col("n") < 100, F.col("__most")).otherwise(F.col("p99")))
+    return out.drop("__most")
 
 
 def alerts(summary: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from lakefinder.operators.overlap import top_k
 
 #: Query vectors in one broadcast block; more queries are taken in blocks.
 BLOCK = 4096
+#: Vectors that are compared with a block at once: a matrix of BLOCK * CANDIDATES scores.
+CANDIDATES = 1024
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, threshold: float | None = None, metric: str = "cosine", where: Column | str | None = None, include_self: bool = False, apart: str | None = None) -> DataFrame:
@@ -61,36 +63,42 @@ def _block_nearest(block: DataFrame, vectors: DataFrame, k: int, threshold: floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, q, number, group = shared.value
         qs = unit(q) if metric == "cosine" else q
-        best: list[list[tuple[float, object]]] = [[] for _ in names]
+        names = np.array(names)
+        best = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, names.dtype))  # query, minus score, id
         for batch in batches:
-            cand = batch.column(0).to_pylist()
-            vecs = batch.column(1).to_pylist()
-            of = np.array([number.get(g, -2) for g in batch.column(2).to_pylist()], np.int64)
-            keep = [i for i, v in enumerate(vecs) if len(v) == q.shape[1] and q.shape[0]]
-            for at in range(0, len(keep), 2048):
-                part = keep[at : at + 2048]
-                m = np.array([vecs[i] for i in part], np.float64)
+            lists = batch.column(1)
+            fits = np.flatnonzero(lists.value_lengths().to_numpy(zero_copy_only=False) == q.shape[1]) if len(qs) else np.zeros(0, np.int64)
+            for at in range(0, len(fits), CANDIDATES):
+                part = fits[at : at + CANDIDATES]
+                some = batch.take(pa.array(part))
+                cand = np.array(some.column(0).to_pylist())
+                m = some.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1)
                 if metric == "cosine":
                     score = qs @ unit(m).T
                 else:
                     square = (qs**2).sum(1)[:, None] + (m**2).sum(1)[None] - 2 * qs @ m.T
                     score = 1 / (1 + np.sqrt(np.maximum(square, 0)))
                 score = np.round(score, 9)
+                score[np.isnan(score)] = -np.inf
                 if number:
-                    score[group[:, None] == of[part][None]] = -np.inf
-                for j, row in enumerate(score):
-                    order = np.argsort(-row, kind="stable")[: k + 1] if len(row) > 4 * k else range(len(row))
-                    least = row[order[-1]] if len(row) > 4 * k else -np.inf
-                    some = [i for i in range(len(row)) if row[i] >= least] if len(row) > 4 * k else order
-                    mine = best[j]
-                    for i in some:
-                        if row[i] > -np.inf and (threshold is None or row[i] >= threshold) and (include_self or cand[part[i]] != names[j]):
-                            mine.append((-float(row[i]), cand[part[i]]))
-                    mine.sort()
-                    del mine[k:]
-        out = [(n, c, -s) for n, mine in zip(names, best, strict=True) for s, c in mine]
-        cols = list(zip(*out, strict=True)) if out else [[], [], []]
-        yield pa.RecordBatch.from_pydict({"query_id": pa.array(cols[0], schema.field("query_id").type), "id": pa.array(cols[1], schema.field("id").type), "score": pa.array(cols[2], pa.float64())})
+                    score[group[:, None] == np.array([number.get(g, -2) for g in some.column(2).to_pylist()], np.int64)[None]] = -np.inf
+                if not include_self:
+                    score[names[:, None] == cand[None]] = -np.inf
+                least = np.full(len(qs), -np.inf) if score.shape[1] <= k else np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+                least = np.maximum(least, threshold if threshold is not None else -np.inf)
+                which, place = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+                best = tuple(np.concatenate(x) for x in zip(best, (which, -score[which, place], cand[place]), strict=True))
+                # the best k of each query so far, ties by id
+                order = np.lexsort((best[2], best[1], best[0]))
+                own = best[0][order]
+                first = np.searchsorted(own, own)
+                order = order[np.arange(len(own)) - first < k]
+                best = tuple(x[order] for x in best)
+        yield pa.RecordBatch.from_pydict({
+            "query_id": pa.array(names[best[0]].tolist(), schema.field("query_id").type),
+            "id": pa.array(best[2].tolist(), schema.field("id").type),
+            "score": pa.array(-best[1], pa.float64()),
+        })
 
     schema = pa.schema([("query_id", got.schema.field("id").type), ("id", vectors.limit(0).toArrow().schema.field("id").type), ("score", pa.float64())])
     return vectors.mapInArrow(run, f"query_id {query_kind}, id {kind}, score double")

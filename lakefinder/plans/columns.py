@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from lakefinder.functions import features as X, normalize as N, similarity as S
 from lakefinder.functions.embedding import gram_vector
+from lakefinder.operators import ranks
 from lakefinder.operators.fusion import best_pairs_score
 from lakefinder.scratch import materialize
 
@@ -120,14 +121,19 @@ def numeric_profiles(frames: dict[str, DataFrame]) -> DataFrame:
             each = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("double").alias("x")) for c in own))
             parts.append(t.select(F.lit(name).alias("table_name"), F.explode(each).alias("v")).select("table_name", "v.*"))
     rows = reduce(DataFrame.union, parts).where("x is not null and not isnan(x)")
-    # equal values are counted before they move; percentile takes them with their frequency
+    # equal values are counted before they move; quartiles are found by their places
     counted = rows.groupBy("table_name", "column_name", "x").agg(F.count("*").alias("w"))
+    counted = ranks.placed(counted, ["table_name", "column_name"], "x", "w")
+    sizes = counted.groupBy("table_name", "column_name").agg(F.sum("w").alias("n"))
+    counted = counted.join(F.broadcast(sizes), ["table_name", "column_name"])  # one row for each column of the catalog
+    place = lambda q: F.lit(q) * (F.col("n") - 1)
+    ends = [(ranks.value_at(F.floor(place(q)), "x", "w"), ranks.value_at(F.ceil(place(q)), "x", "w"), F.max(place(q) - F.floor(place(q)))) for q in (0.25, 0.5, 0.75)]
     return counted.groupBy("table_name", "column_name").agg(
         F.sum("w").alias("n"),
         (F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("mean"),
         F.sum(F.col("x") * F.col("w")).alias("total"),
         F.sum(F.col("x") * F.col("x") * F.col("w")).alias("squares"),
-        F.expr("percentile(x, array(0.25D, 0.5D, 0.75D), w)").alias("quartiles"),
+        F.array(*(low + (high - low) * part for low, high, part in ends)).alias("quartiles"),
         (F.max("x") - F.min("x")).alias("span"),
     )
 

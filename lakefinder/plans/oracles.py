@@ -41,9 +41,9 @@ def _column(t: str, i: int, c: str, k: str) -> str:
     return f"SELECT '{t}' AS table_name, '{c}' AS column_name, {i} AS ordinal, '{k}' AS data_type, count(*) - count({c}) AS null_count, count(*) AS row_count, {unique} AS unique_count, {samples} AS sample_values FROM {t}"
 
 
-LAKE = "lc AS (" + " UNION ALL ".join(_column(*c) for c in COLUMNS) + ")"
-VALUES = "lv AS (SELECT DISTINCT * FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, {norm(c)} AS value FROM {t}" for t, c in INDEXED) + ") WHERE length(value) >= 2)"
-TABLES = "lt AS (SELECT table_name, max(row_count) AS row_count, count(*) AS column_count, list(column_name ORDER BY ordinal) AS names, list(data_type ORDER BY ordinal) AS types FROM lc GROUP BY 1)"
+LAKE = "lc AS MATERIALIZED (" + " UNION ALL ".join(_column(*c) for c in COLUMNS) + ")"
+VALUES = "lv AS MATERIALIZED (SELECT DISTINCT * FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, {norm(c)} AS value FROM {t}" for t, c in INDEXED) + ") WHERE length(value) >= 2)"
+TABLES = "lt AS MATERIALIZED (SELECT table_name, max(row_count) AS row_count, count(*) AS column_count, list(column_name ORDER BY ordinal) AS names, list(data_type ORDER BY ordinal) AS types FROM lc GROUP BY 1)"
 
 
 def has(x: str, words) -> str:
@@ -87,7 +87,7 @@ def qtype(x: str) -> str:
     return classify(x, N.QUERY_TYPES, "'other'")
 
 
-FEATURES = f"""lf AS (SELECT table_name, row_count, column_count, names, types,
+FEATURES = f"""lf AS MATERIALIZED (SELECT table_name, row_count, column_count, names, types,
     {classify('lower(table_name)', X.DOMAINS, "'general'")} AS domain,
     {steps('column_count', (5, 20), (0, 1, 2))} AS size_category,
     {steps('column_count', (5, 10, 20, 50), (5, 10, 20, 50, 100))} AS column_bucket,
@@ -113,7 +113,7 @@ def with_(*parts: str) -> str:
 CAT = (LAKE, TABLES, FEATURES)
 
 #: Metadata similarity of every two tables; 1 with itself.
-META = """ms AS (SELECT q.table_name AS query_table, t.table_name,
+META = """ms AS MATERIALIZED (SELECT q.table_name AS query_table, t.table_name,
     CASE WHEN q.table_name = t.table_name THEN 1.0 ELSE
       0.3 * (q.domain = t.domain)::INT + 0.2 * (1 - abs(q.size_category - t.size_category) / 3.0)
       + 0.2 * (1 - abs(q.column_count - t.column_count)::DOUBLE / greatest(q.column_count, t.column_count))
@@ -138,10 +138,10 @@ def stripped(x: str) -> str:
 
 
 NAMES = "nm AS (SELECT DISTINCT column_name FROM lc), np AS (SELECT x.column_name AS a, y.column_name AS b FROM nm x, nm y WHERE x.column_name < y.column_name)"
-PAIRS = """cp AS (SELECT q.table_name AS query_table, q.column_name AS query_column, q.data_type AS qt, q.sample_values AS qs, q.null_count AS qn, q.unique_count AS qu,
+PAIRS = """cp AS MATERIALIZED (SELECT q.table_name AS query_table, q.column_name AS query_column, q.data_type AS qt, q.sample_values AS qs, q.null_count AS qn, q.unique_count AS qu,
     t.table_name, t.column_name, t.data_type AS tt, t.sample_values AS ts, t.null_count AS tn, t.unique_count AS tu
     FROM lc q, lc t WHERE q.table_name <> t.table_name AND q.ordinal < 20 AND t.ordinal < 20)"""
-BY_NAMES = f"bn AS (SELECT query_table, query_column, table_name, column_name, round(0.7 * {char_jaccard('query_column', 'column_name')} + 0.3 * CASE WHEN qt = tt THEN 1.0 ELSE 0.3 END, 9) AS score FROM cp)"
+BY_NAMES = f"bn AS MATERIALIZED (SELECT query_table, query_column, table_name, column_name, round(0.7 * {char_jaccard('query_column', 'column_name')} + 0.3 * CASE WHEN qt = tt THEN 1.0 ELSE 0.3 END, 9) AS score FROM cp)"
 GROUP = classify("k", dict(reversed(N.GROUP_TYPES.items())), "NULL")
 
 
@@ -150,11 +150,11 @@ def group(x: str) -> str:
 
 
 OVERLAP = """qv AS (SELECT table_name AS query_table, column_name AS query_column, value FROM lv),
-    nq AS (SELECT query_table, query_column, count(*) AS n FROM qv GROUP BY ALL), nt AS (SELECT table_name, column_name, count(*) AS n FROM lv GROUP BY ALL),
-    ov AS (SELECT h.*, h.n_hit::DOUBLE / nq.n AS overlap, h.n_hit::DOUBLE / nt.n AS target, 0.7 * (h.n_hit::DOUBLE / nq.n) + 0.3 * (h.n_hit::DOUBLE / nt.n) AS score
+    nq AS MATERIALIZED (SELECT query_table, query_column, count(*) AS n FROM qv GROUP BY ALL), nt AS MATERIALIZED (SELECT table_name, column_name, count(*) AS n FROM lv GROUP BY ALL),
+    ov AS MATERIALIZED (SELECT h.*, h.n_hit::DOUBLE / nq.n AS overlap, h.n_hit::DOUBLE / nt.n AS target, 0.7 * (h.n_hit::DOUBLE / nq.n) + 0.3 * (h.n_hit::DOUBLE / nt.n) AS score
       FROM (SELECT query_table, query_column, table_name, column_name, count(*) AS n_hit FROM qv JOIN lv USING (value) WHERE query_table <> table_name GROUP BY ALL) h
       JOIN nq USING (query_table, query_column) JOIN nt USING (table_name, column_name) WHERE h.n_hit::DOUBLE / nq.n >= 0.35)"""
-MERGED = """mg AS (SELECT query_table, query_column, table_name, column_name,
+MERGED = """mg AS MATERIALIZED (SELECT query_table, query_column, table_name, column_name,
     CASE WHEN s.score IS NOT NULL AND v.score IS NOT NULL THEN least(0.6 * s.score + 0.4 * v.score, 1.0) ELSE coalesce(s.score, v.score) END AS confidence,
     CASE WHEN v.score IS NULL THEN 'semantic' WHEN s.score IS NULL THEN 'value_overlap' ELSE 'semantic+value' END AS match_type
     FROM (SELECT * FROM bn WHERE score > 0.65) s FULL JOIN ov v USING (query_table, query_column, table_name, column_name))"""
@@ -185,14 +185,14 @@ _INTENT = f"CASE WHEN {_BEST} = 0 THEN 'search' " + " ".join(f"WHEN {e} = {_BEST
 _COEF = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(lsh.coefficients(64)))
 _WORD = "list_transform(list_filter(string_split(replace(lower(column_name), '_', ' '), ' '), lambda x: x <> ''), lambda x: 'word:' || x)"
 _NUMBER = f"regexp_replace(v, '^{SPACE}|{SPACE}$', '', 'g')"
-FEATS = f"""ft AS (SELECT table_name || '.' || column_name AS id, list_distinct(list_concat(['name:' || lower(column_name)], {_WORD}, ['type:' || lower(data_type)],
+FEATS = f"""ft AS MATERIALIZED (SELECT table_name || '.' || column_name AS id, list_distinct(list_concat(['name:' || lower(column_name)], {_WORD}, ['type:' || lower(data_type)],
     list_transform(sample_values, lambda v: 'value:' || lower(v)), list_transform(sample_values, lambda v: CASE WHEN try_cast({_NUMBER} AS DOUBLE) IS NOT NULL THEN 'value_type:numeric' ELSE 'value_type:text' END))) AS features FROM lc),
-    hs AS (SELECT id, x, (8 * ('0x' || substr(md5(x), 1, 8))::BIGINT + 4 * ('0x' || substr(md5(x), 9, 8))::BIGINT + 2 * ('0x' || substr(md5(x), 17, 8))::BIGINT + ('0x' || substr(md5(x), 25, 8))::BIGINT) % {lsh.PRIME} AS h FROM (SELECT id, unnest(features) AS x FROM ft)),
-    sg AS (SELECT id, place, min((a * h + b) % {lsh.PRIME}) AS x FROM hs, (VALUES {_COEF}) c(place, a, b) GROUP BY ALL)"""
+    hs AS MATERIALIZED (SELECT id, x, (8 * ('0x' || substr(md5(x), 1, 8))::BIGINT + 4 * ('0x' || substr(md5(x), 9, 8))::BIGINT + 2 * ('0x' || substr(md5(x), 17, 8))::BIGINT + ('0x' || substr(md5(x), 25, 8))::BIGINT) % {lsh.PRIME} AS h FROM (SELECT id, unnest(features) AS x FROM ft)),
+    sg AS MATERIALIZED (SELECT id, place, min((a * h + b) % {lsh.PRIME}) AS x FROM hs, (VALUES {_COEF}) c(place, a, b) GROUP BY ALL)"""
 
 _NUMERIC = [(t, c) for t, _, c, k in COLUMNS if k in ("int", "double")]
-PROFILES = "nx AS (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, {c}::DOUBLE AS x FROM {t} WHERE {c} IS NOT NULL" for t, c in _NUMERIC) + """),
-    pf AS (SELECT table_name, column_name, count(*) AS n, avg(x) AS m, sum(x) AS s1, sum(x * x) AS s2, stddev_pop(x) AS sd, quantile_cont(x, [0.25, 0.5, 0.75]) AS q, max(x) - min(x) AS r FROM nx GROUP BY ALL)"""
+PROFILES = "nx AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, {c}::DOUBLE AS x FROM {t} WHERE {c} IS NOT NULL" for t, c in _NUMERIC) + """),
+    pf AS MATERIALIZED (SELECT table_name, column_name, count(*) AS n, avg(x) AS m, sum(x) AS s1, sum(x * x) AS s2, stddev_pop(x) AS sd, quantile_cont(x, [0.25, 0.5, 0.75]) AS q, max(x) - min(x) AS r FROM nx GROUP BY ALL)"""
 
 
 def diff(a: str, b: str, *scale: str) -> str:

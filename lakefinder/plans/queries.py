@@ -7,14 +7,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lakefinder.functions import embedding as E, features as X, normalize as N, similarity as S
 from lakefinder.operators import assignment, evaluate, fusion, lsh, metadata, overlap, vectors
 from lakefinder.plans import columns as P, discover, routing
-from lakefinder.scratch import materialize
+from lakefinder.scratch import materialize, stamp
 from lakefinder.sources import catalog, store
 from lakefinder.streaming import incremental
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
-#: The catalogs made so far: a lake is profiled once for all its queries, as an index is built once for all searches.
-_made: dict[tuple[str, str], catalog.Lake] = {}
+#: The catalogs made so far: a lake is profiled once for all its queries, as an index is built once for all searches, and anew when its files change.
+_made: dict[tuple[str, str, str], catalog.Lake] = {}
 
 
 def frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -22,7 +22,7 @@ def frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def lake(spark: SparkSession, sf_dir: str) -> catalog.Lake:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, stamp(spark, *(f"{sf_dir}/{t}.parquet" for t in TABLES)))
     if key not in _made:
         own = catalog.lake_of(frames(spark, sf_dir))
         _made[key] = catalog.Lake(materialize(own.tables, "lake_tables"), own.columns, materialize(own.values, "lake_values"))

@@ -26,10 +26,16 @@ def verify(lake: Lake) -> DataFrame:
     return tables.crossJoin(columns).crossJoin(values).withColumn("complete", F.col("n_listed") == F.col("n_columns"))
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` in place of those of ``old`` with the same keys; of several new ones any single one."""
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], newest: str | None = None) -> DataFrame:
+    """Rows of ``new`` in place of those of ``old`` with the same keys.
+
+    Of several new rows of one key the one with the largest ``newest`` (a time, say; null first)
+    stays; where that is not given, or equal, the one with the largest hash of all columns, so
+    the result does not depend on the order of rows.
+    """
     both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
-    first = Window.partitionBy(*keys).orderBy(F.desc("__new"))
+    latest = [F.col(newest).desc_nulls_last()] if newest else []
+    first = Window.partitionBy(*keys).orderBy(F.desc("__new"), *latest, F.xxhash64(*(F.to_json(F.struct(F.col(f"`{c}`"))) for c in new.columns)).desc())
     return both.withColumn("__at", F.row_number().over(first)).where("__at = 1").drop("__at", "__new")
 
 

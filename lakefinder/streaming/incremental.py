@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,18 +21,37 @@ def new_values(rows: DataFrame, table: str) -> DataFrame:
 def keep_index(stream: DataFrame, table: str, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Add a stream's values to the index at ``path``: of each batch those that the table's part does not have.
 
-    A batch is written under its number, so that one that is run again replaces itself.
+    The index may be one that ``store.save`` wrote (its folder ``values``), or none yet.  A batch's
+    files carry the stream's name (a digest of its checkpoint's path) and the batch's number.
+    A batch that is run again, because the driver died before its commit, first removes what it
+    left, and compares itself with the other files only, so it writes the same values again.
+    Files are written aside and then renamed: readers never see one that is half written.
     """
+    stream_name = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        own = new_values(batch, table).distinct()
-        root = f"{path}/table_name={table}"
-        jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-        if jvm.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm):
-            known = spark.read.parquet(root).where(F.col("batch") != number) if number else spark.read.parquet(root)
-            own = own.join(known.select("column_name", "value").distinct(), ["column_name", "value"], "left_anti")
-        own.select("column_name", "value").write.mode("overwrite").parquet(f"{root}/batch={number}")
+        jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+        root, aside = jvm.Path(f"{path}/table_name={table}"), jvm.Path(f"{path}/_{stream_name}-{number}")
+        files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(root)
+        mark = f"batch-{stream_name}-{number}-"
+        others = []
+        for status in files.listStatus(root):
+            name = status.getPath().getName()
+            if name.startswith(mark):
+                files.delete(status.getPath(), False)
+            elif name.endswith(".parquet"):
+                others.append(status.getPath().toString())
+        own = new_values(batch, table).select("column_name", "value").distinct()
+        if others:
+            known = spark.read.schema("column_name string, value string").parquet(*others)
+            own = own.join(known, ["column_name", "value"], "left_anti")
+        own.write.mode("overwrite").parquet(aside.toString())
+        for k, status in enumerate(s for s in files.listStatus(aside) if s.getPath().getName().endswith(".parquet")):
+            if not files.rename(status.getPath(), jvm.Path(root, f"{mark}{k:05d}.parquet")):
+                raise OSError(f"cannot move {status.getPath()} into the index")
+        files.delete(aside, True)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
