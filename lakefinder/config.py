@@ -18,16 +18,9 @@ class Config:
     confidence_weight: float = 0.4
     coverage_weight: float = 0.2
     key_bonus: float = 0.2
-    dim: int = 384
     match_threshold: float = 0.6
     max_table_columns: int = 50
-    pair_columns: int = 20
     assignment_weights: dict = field(default_factory=lambda: {"raw": 0.1, "norm_min": 0.2, "norm_max": 0.2, "jaccard": 0.15, "average": 0.2, "weighted": 0.15})
-    lsh_hashes: int = 64
-    lsh_bands: int = 8
-    lsh_rows: int = 2
-    lsh_threshold: float = 0.5
-    lsh_max: int = 1000
     l1_top: int = 1000
     l2_names: int = 200
     l2_top: int = 100

@@ -18,8 +18,18 @@ QUERY_STOP = ("the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "w
 
 
 def value(v: Column) -> Column:
-    """A value for the overlap index: trimmed, lower case, single blanks; null if shorter than two characters."""
-    out = F.regexp_replace(F.lower(F.regexp_replace(v.cast("string"), rf"^{SPACE}|{SPACE}$", "")), SPACE, " ")
+    """A value for the overlap index: trimmed, lower case, single blanks; null if shorter than two characters.
+
+    Most values need no pattern: only those with blanks in a row, or other white space, are rewritten.
+    """
+    out = F.lower(F.btrim(v.cast("string"), F.lit(" \t\n\x0b\f\r")))
+    out = F.when(out.rlike(r"[\t\n\x0B\f\r]|  "), F.regexp_replace(out, SPACE, " ")).otherwise(out)
+    return F.when(F.char_length(out) >= 2, out)
+
+
+def plain_value(v: Column) -> Column:
+    """As ``value``, of a number: its text has neither white space nor, but for an exponent, letters."""
+    out = F.lower(v.cast("string"))
     return F.when(F.char_length(out) >= 2, out)
 
 

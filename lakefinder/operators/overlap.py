@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window, functions as F
 
+from lakefinder.scratch import materialize
+
 KEYS = ["query_table", "query_column", "table_name", "column_name"]
+#: Values of a query in one broadcast, at most; they are counted, and joined by a shuffle beyond that.
+FEW_VALUES = 1_000_000
 
 
 def value_overlap(query: DataFrame, values: DataFrame, min_overlap: float = 0.35, k: int | None = None, include_self: bool = False) -> DataFrame:
@@ -33,6 +39,28 @@ def value_overlap(query: DataFrame, values: DataFrame, min_overlap: float = 0.35
     return top_k(out, k, ["query_table", "query_column"], ["score"], ["table_name", "column_name"])
 
 
+def value_overlap_unindexed(query: DataFrame, rows: DataFrame, sizes_of: Callable[[set[tuple[str, str]]], DataFrame], min_overlap: float = 0.35, k: int | None = None) -> DataFrame:
+    """As ``value_overlap`` for one search over a lake without an index.
+
+    query: distinct (query_table, query_column, value) of few columns; rows: (table_name,
+    column_name, value) of the lake, with repeats; sizes_of: (table_name, column_name, n_target)
+    of given columns.  Only rows whose value the query has are made distinct, and the
+    distinct values are counted of those columns alone that share enough: no other value moves.
+    """
+    query = materialize(query, "query")
+    wanted = query.groupBy("query_table", "query_column").agg(F.count("*").alias("n_query"))
+    values = query.select("value").distinct()
+    few = values.count() <= FEW_VALUES
+    met = rows.join(F.broadcast(values) if few else values, "value", "left_semi").distinct()
+    hits = query.join(met, "value").where("query_table != table_name").groupBy(*KEYS).agg(F.count("*").alias("n_hit"))
+    hits = hits.join(wanted, ["query_table", "query_column"]).withColumn("overlap", F.col("n_hit") / F.col("n_query")).where(F.col("overlap") >= min_overlap)
+    hits = materialize(hits, "hits")
+    columns = {(r.table_name, r.column_name) for r in hits.select("table_name", "column_name").distinct().toLocalIterator()}  # names of the schema
+    out = hits.join(F.broadcast(sizes_of(columns)), ["table_name", "column_name"])
+    out = out.withColumn("target", F.col("n_hit") / F.col("n_target")).withColumn("score", 0.7 * F.col("overlap") + 0.3 * F.col("target"))
+    return top_k(out.select(*KEYS, "n_hit", "overlap", "target", "score"), k, ["query_table", "query_column"], ["score"], ["table_name", "column_name"])
+
+
 def top_k(rows: DataFrame, k: int | None, by: list[str], desc: list[str], ties: list[str]) -> DataFrame:
     """The best k rows of each group; the group limit is pushed below the shuffle."""
     if k is None:

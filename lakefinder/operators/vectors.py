@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lakefinder.functions import similarity as S
 from lakefinder.operators.overlap import top_k
@@ -170,6 +170,31 @@ def index_search(queries: DataFrame, indexed: DataFrame, centre: np.ndarray, pro
     return top_k(found, k, ["query_id"], ["score"], ["id"])
 
 
+def save_index(indexed: DataFrame, centre: np.ndarray, path: str) -> None:
+    """Write an index: its rows, a folder for each cell, and its centroids."""
+    spark = indexed.sparkSession
+    indexed.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(centre)]  # 65,536 at most (see advice)
+    spark.createDataFrame(rows, "cell int, embedding array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+
+
+def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray]:
+    """The rows and centroids of a written index, for ``index_search``; more rows are added by ``add_to_index``."""
+    centre = spark.read.parquet(f"{path}/centroids").orderBy("cell").toArrow().column("embedding").to_pylist()
+    return spark.read.parquet(f"{path}/rows"), np.array(centre, np.float64).reshape(len(centre), -1)
+
+
+def add_to_index(vectors: DataFrame, centre: np.ndarray, path: str) -> None:
+    """Append vectors to a written index, by its centroids."""
+    assign(vectors, centre).write.mode("append").partitionBy("cell").parquet(f"{path}/rows")
+
+
+def index_sizes(indexed: DataFrame) -> DataFrame:
+    """(n_rows, n_cells, largest_cell) of an index."""
+    cells = indexed.groupBy("cell").agg(F.count("*").alias("n"))
+    return cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_cells"), F.coalesce(F.max("n"), F.lit(0)).alias("largest_cell"))
+
+
 def recall(found: DataFrame, exact: DataFrame) -> float:
     """The share of the exact neighbours that were found."""
     n = exact.count()

@@ -39,9 +39,10 @@ def q_value_overlap(spark, sf_dir):
 
 def q_joinable(spark, sf_dir):
     """The flagship: the ten columns that best join orders.o_custkey, from the two sides' values alone."""
-    own = catalog.values_of(frames(spark, sf_dir))
-    query = own.where("table_name = 'orders' and column_name = 'o_custkey'").select(F.col("table_name").alias("query_table"), F.col("column_name").alias("query_column"), "value")
-    found = overlap.value_overlap(query, own, 0.35, 10)
+    own = frames(spark, sf_dir)
+    query = catalog.values_of(own, {("orders", "o_custkey")}).select(F.col("table_name").alias("query_table"), F.col("column_name").alias("query_column"), "value")
+    sizes = lambda some: catalog.values_of(own, some).groupBy("table_name", "column_name").agg(F.count("*").alias("n_target"))
+    found = overlap.value_overlap_unindexed(query, catalog.rows_of_values(own), sizes, 0.35, 10)
     return found.select("table_name", "column_name", "n_hit", *(F.round(c, 9).alias(c) for c in ("overlap", "target", "score")), "rank")
 
 

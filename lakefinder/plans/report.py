@@ -26,7 +26,7 @@ def rows(found: Found, k: int = 10) -> list[dict]:
 
 def as_json(found: Found, k: int = 10) -> str:
     listed = rows(found, k)
-    return json.dumps({"strategy": found.strategy, "results_count": len(listed), "results": listed, "final_report": as_text(found, k, listed), "errors": []}, indent=2, ensure_ascii=False)
+    return json.dumps({"strategy": found.strategy, "results_count": len(listed), "results": listed, "final_report": as_text(found, k, listed), "errors": found.errors[-3:]}, indent=2, ensure_ascii=False)
 
 
 def as_markdown(found: Found, k: int = 10) -> str:
@@ -43,7 +43,7 @@ def as_text(found: Found, k: int = 10, listed: list[dict] | None = None) -> str:
     """A table of plain text: at most ten tables, three columns of each."""
     listed = rows(found, k) if listed is None else listed
     if not listed:
-        return "No tables found."
+        return "\n".join(["No tables found.", *found.errors[-3:]])
     out = [f"{'query':<24} {'table':<24} {'score':>8}  columns"]
     for r in listed[:10]:
         cols = ", ".join(f"{m['source']}={m['target']}" for m in r["matched_columns"][:3])

@@ -101,15 +101,24 @@ def tables_of(columns: DataFrame) -> DataFrame:
     return grouped.withColumn("column_count", F.size("columns"))
 
 
-def values_of(frames: dict[str, DataFrame]) -> DataFrame:
-    """Distinct (table_name, column_name, value) of indexed columns, normalised."""
+def rows_of_values(frames: dict[str, DataFrame], only: set[tuple[str, str]] | None = None) -> DataFrame:
+    """(table_name, column_name, value) of the rows of indexed columns, normalised, with repeats; only: of these columns."""
     parts = []
     for name, t in frames.items():
-        own = [f for f in t.schema.fields if indexed(f.dataType)]
+        own = [f for f in t.schema.fields if indexed(f.dataType) and (only is None or (name, f.name) in only)]
         if own:
-            each = F.array(*(F.struct(F.lit(f.name).alias("column_name"), N.value(F.col(f"`{f.name}`")).alias("value")) for f in own))
+            norm = lambda f: (N.plain_value if isinstance(f.dataType, T.NumericType) else N.value)(F.col(f"`{f.name}`"))
+            each = F.array(*(F.struct(F.lit(f.name).alias("column_name"), norm(f).alias("value")) for f in own))
             parts.append(t.select(F.lit(name).alias("table_name"), F.explode(each).alias("v")).select("table_name", "v.*").where("value is not null"))
-    return reduce(DataFrame.union, parts).distinct()
+    if not parts:
+        spark = next(iter(frames.values())).sparkSession
+        return spark.createDataFrame([], "table_name string, column_name string, value string")
+    return reduce(DataFrame.union, parts)
+
+
+def values_of(frames: dict[str, DataFrame], only: set[tuple[str, str]] | None = None) -> DataFrame:
+    """Distinct (table_name, column_name, value) of indexed columns, normalised."""
+    return rows_of_values(frames, only).distinct()
 
 
 # Descriptions
@@ -230,6 +239,15 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     return found.select(get("query_table", "query_id").alias("query_table"), get("query_column").alias("query_column"), one.alias("candidate_table"), get("candidate_column").alias("candidate_column"), get("query_type").alias("query_type"))
 
 
+def read_experiment(spark: SparkSession, tables: str, queries: str, truth: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three files of an experiment: described tables, the queries' table names (query_table), and known matches."""
+    asked = spark.read.option("multiLine", True).json(queries)
+    named = next((c for c in ("query_table", "table_name", "name", "query_id") if c in asked.columns), None)
+    if named is None:
+        raise ValueError(f"queries in {queries} name no table")
+    return read_json_tables(spark, tables), asked.select(F.col(named).cast("string").alias("query_table")).where("query_table is not null").distinct(), read_truth(spark, truth)
+
+
 def look_up(names: DataFrame, tables: DataFrame, with_csv: bool = True) -> DataFrame:
     """The catalog rows of names (a ``table_name`` column); with_csv: whether the ending .csv makes a difference."""
     key = N.table_name if with_csv else N.bare_name

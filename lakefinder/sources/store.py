@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from lakefinder.scratch import materialize
 from lakefinder.sources.catalog import Lake
 
 
@@ -18,6 +19,17 @@ def load(spark: SparkSession, path: str) -> Lake:
     return Lake(*(spark.read.parquet(f"{path}/{p}") for p in ("tables", "columns", "values")))
 
 
+def append(lake: Lake, path: str) -> None:
+    """Add those tables of a catalog to a written one that it does not have, with their columns and values."""
+    spark = lake.tables.sparkSession
+    known = load(spark, path).tables.select("table_name")
+    new = materialize(lake.tables.join(known, "table_name", "left_anti"), "appended")
+    names = new.select("table_name")
+    lake.values.join(names, "table_name", "left_semi").write.mode("append").partitionBy("table_name").parquet(f"{path}/values")
+    lake.columns.join(names, "table_name", "left_semi").write.mode("append").parquet(f"{path}/columns")
+    new.write.mode("append").parquet(f"{path}/tables")  # last, so that a table that is listed is whole
+
+
 def verify(lake: Lake) -> DataFrame:
     """One row: tables, columns, columns with values, and values; and whether each column belongs to a table."""
     tables = lake.tables.agg(F.count("*").alias("n_tables"), F.sum("column_count").cast("long").alias("n_listed"))
