@@ -26,25 +26,30 @@ def vocabulary() -> str:
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents by three-word shingles at 0.9. Null and empty texts link nothing; ids may be null, repeated and of any ordered type; an empty table gives no rows (see ``similar_documents``)."""
     out = ngram_jaccard.similar_documents(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
     return out.select("doc_id", "n_shingles", "component_id")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents. Null and empty texts are scored by their lack of words; without labels of both classes all scores are alike; ids are not looked at but for held_out."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts with pseudonyms in place of private values. A null text stays null, with 0 values; repeated rows get the same text."""
     out = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
     return out.select("doc_id", F.coalesce(F.size("private"), F.lit(0)).cast("long").alias("n_private"), "text", "private")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every group of texts that are equal but for white space, the row that stays. Null counts as empty; ties go to the smallest id, a null id last (see ``exact_dedup``)."""
     out = dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return out.drop("row_no")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in windows of benchmark items. A null text has no words; an empty benchmark hits nothing; rows that repeat an id are looked at singly."""
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return found.select(
         "doc_id",
@@ -57,24 +62,29 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents. Null and empty texts get the score of no features; without labels of both classes all scores are alike; ids are not looked at but for held_out."""
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every text and of what they decode to. A null text is an empty one: no ids; repeated rows are encoded singly."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_documents(docs, vocabulary(), digests=True)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histogram of encoded lengths with suffix sums. A null text counts 0 tokens; an empty table gives no rows."""
     lengths = token_counts.token_lengths(table(spark, sf_dir, "documents"), vocabulary())
     return token_counts.length_histogram(lengths)
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text. Null texts and those without a letter are ``und`` with score 0; rows without lang teach nothing; without any lang all are ``und``."""
     return langid.classify(table(spark, sf_dir, "documents"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight contiguous shards of near equal bytes. A null text has size 1; null ids come first; ties are cut by size, CRC and input place."""
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 8)
 
 
