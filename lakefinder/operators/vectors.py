@@ -111,6 +111,20 @@ def nearest_by_expression(queries: DataFrame, vectors: DataFrame, k: int | None,
     return top_k(both.select(F.col("q_id").alias("query_id"), "id", F.round(score, 9).alias("score")), k, ["query_id"], ["score"], ["id"])
 
 
+def nearest_among(queries: DataFrame, vectors: DataFrame, candidates: DataFrame, k: int | None, least: float | None = None) -> DataFrame:
+    """The k nearest by cosine among each query's candidates (query_id, id), which alone are scored.
+
+    Work grows with the candidates, not with queries times vectors; a repeated candidate counts
+    once, one without a vector has no score.  Ties go to the smaller id.
+    """
+    few = candidates.select("query_id", "id").distinct().join(vectors.select("id", "embedding"), "id")
+    both = few.join(queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("q_embedding")), "query_id")
+    scored = both.select("query_id", "id", F.round(S.cosine(F.col("q_embedding"), F.col("embedding")), 9).alias("score"))
+    if least is not None:
+        scored = scored.where(F.col("score") >= least)
+    return top_k(scored, k, ["query_id"], ["score"], ["id"])
+
+
 def within(found: DataFrame, candidates: DataFrame, k: int | None) -> DataFrame:
     """Hits restricted to candidate (query_id, id) pairs, before the ranking."""
     return top_k(found.drop("rank").join(candidates, ["query_id", "id"], "left_semi"), k, ["query_id"], ["score"], ["id"])

@@ -105,8 +105,8 @@ def funnel(lake: Lake, query_tables: DataFrame, config: Config = Config(), provi
     index = materialize(table_vectors(lake.tables, provider), "table_vectors")
     q = index.join(query_tables.select(F.col("table_name").alias("id")).distinct(), "id", "left_semi")
     # score the candidates alone: the restriction comes before the ranking
-    both = few.select(F.col("query_table").alias("query_id"), F.col("table_name").alias("id")).join(index, "id").join(q.select(F.col("id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
-    scored = both.select(F.col("query_id").alias("query_table"), F.col("id").alias("table_name"), F.round(S.cosine(F.col("q"), F.col("embedding")), 9).alias("score")).where(F.col("score") >= config.l2_threshold)
+    candidates = few.select(F.col("query_table").alias("query_id"), F.col("table_name").alias("id"))
+    scored = vectors.nearest_among(q, index, candidates, None, config.l2_threshold).select(F.col("query_id").alias("query_table"), F.col("id").alias("table_name"), "score")
     second = overlap.top_k(scored, config.l2_top, ["query_table"], ["score"], ["table_name"])
     return {"metadata": first, "vectors": materialize(second, "layer2")}
 

@@ -340,3 +340,54 @@ SQL["verdicts"] = (
     v AS (SELECT f.*, CASE WHEN score > 0.9 AND overlap > 0.8 THEN 'overlap' WHEN identical THEN 'structure' WHEN keys > 0.8 THEN 'keys' WHEN pattern THEN 'pattern' WHEN score > 0.6 THEN 'uncertain' END AS rule FROM f JOIN rl USING (query_table, table_name))
     SELECT query_table, table_name, round(CASE WHEN rule = 'structure' THEN least(score * 1.2, 1.0) ELSE score END, 9) AS score, rule, CASE WHEN rule = 'uncertain' THEN 'uncertain' ELSE 'rule' END AS method FROM v WHERE rule IS NOT NULL"""
 )
+
+SQL["nearest_among"] = "WITH " + COS + top("(SELECT * FROM p WHERE query_id // 50 = id // 50)", 5) + " SELECT query_id, id, rank FROM r"
+SQL["relaxed_vectors"] = (
+    "WITH "
+    + COS
+    + top("p", 12)
+    + """, a AS (SELECT *, count(*) FILTER (score > 0.25) OVER (PARTITION BY query_id) AS h FROM r),
+    k AS (SELECT *, CASE WHEN score > 0.25 AND rank <= 6 THEN 0 WHEN score <= 0.25 AND score > 0.125 AND rank <= greatest(h, 3) THEN 1 WHEN rank <= 10 THEN 2 END AS kind FROM a)
+    SELECT query_id AS query_table, id AS table_name, round(CASE kind WHEN 0 THEN score WHEN 1 THEN score * 0.9 ELSE score * 0.7 END, 6) AS score, kind FROM k WHERE kind IS NOT NULL"""
+)
+_MEANS = SQL["vector_metrics"]
+SQL["metric_spread"] = (
+    _MEANS[: _MEANS.rindex("SELECT count(*) AS n_queries")]
+    + ", u AS (UNPIVOT (SELECT p AS precision, r AS recall, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f1, mrr::DOUBLE AS mrr, hit::DOUBLE AS hit, ap AS average_precision, nd AS ndcg FROM m) ON COLUMNS(*) INTO NAME metric VALUE x) "
+    + "SELECT metric, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(min(x), 6) AS min, round(max(x), 6) AS max FROM u GROUP BY 1"
+)
+_LAYER = SQL["layer_metrics"]
+SQL["layer_means"] = (
+    "SELECT layer, k, count(*) AS n_queries, round(avg(filter_ratio), 6) AS filter_ratio, round(avg(retention), 6) AS retention, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(hit), 6) AS hit FROM ("
+    + " UNION ALL ".join(f"SELECT '{n}' AS layer, * FROM ({_LAYER.replace('rank <= 20', f'rank <= {k}').replace(', 6)', ', 9)')})" for n, k in (("wide", 20), ("narrow", 5)))
+    + ") GROUP BY 1, 2"
+)
+#: Two minima make a bucket of a band.
+BUCKETS = "bk AS MATERIALIZED (SELECT x.id, x.place // 2 AS band, x.x AS x1, y.x AS x2 FROM sg x JOIN sg y ON x.id = y.id AND y.place = x.place + 1 WHERE x.place % 2 = 0)"
+SQL["lsh_statistics"] = with_(LAKE, FEATS, BUCKETS) + "SELECT count(*) AS n_buckets, round(avg(n), 6) AS items_per_bucket, max(n) AS largest_bucket FROM (SELECT count(*) AS n FROM bk GROUP BY band, x1, x2)"
+SQL["minhash_estimate"] = (
+    with_(LAKE, FEATS, BUCKETS)
+    + """, c AS (SELECT DISTINCT q.id AS query_id, t.id FROM bk q JOIN bk t USING (band, x1, x2) WHERE q.id < t.id)
+    SELECT query_id, c.id, round(count(*) FILTER (q.x = t.x) / 64.0, 9)::DOUBLE AS estimate FROM c JOIN sg q ON q.id = query_id JOIN sg t ON t.id = c.id AND t.place = q.place GROUP BY 1, 2"""
+)
+SQL["lsh_table_features"] = with_(LAKE) + """SELECT DISTINCT table_name, unnest(list_concat(['table:' || lower(table_name)], list_transform(list_filter(string_split(replace(lower(table_name), '_', ' '), ' '), lambda x: x <> ''), lambda x: 'table_word:' || x),
+    list('has_column:' || lower(column_name)), list('has_type:' || lower(data_type)), ['column_count:' || count(*), 'table_size:' || CASE WHEN count(*) <= 5 THEN 'small' WHEN count(*) <= 15 THEN 'medium' ELSE 'large' END])) AS feature FROM lc GROUP BY table_name"""
+SQL["text_search"] = (
+    with_(LAKE)
+    + f""", tp AS (SELECT DISTINCT table_name, column_name, unnest(regexp_split_to_array(lower(concat_ws(' ', table_name, column_name, data_type, array_to_string(list_slice(sample_values, 1, 5), ' '))), '[^\\p{{L}}\\p{{N}}]+')) AS term FROM lc),
+    ps AS (SELECT * FROM tp WHERE length(term) > 1), nc AS (SELECT count(*) AS n FROM (SELECT DISTINCT table_name, column_name FROM ps)),
+    wt AS (SELECT term, ln(1 + n::DOUBLE / count(*)) AS idf FROM ps, nc WHERE term IN ('orders', 'custkey', 'string', 'doc') GROUP BY term, n),
+    sc AS (SELECT table_name, column_name, round(sum(idf), 9) AS w FROM ps JOIN wt USING (term) GROUP BY ALL),
+    rk AS (SELECT *, row_number() OVER (ORDER BY w DESC, table_name, column_name) AS rank FROM sc)
+    SELECT table_name, column_name, round(w, 6) AS weight, rank, round(least(0.9, 1.0::DOUBLE / (1 + rank)), 9) AS score FROM rk WHERE rank <= 10"""
+)
+SQL["match_types"] = with_(LAKE, VALUES, PAIRS, BY_NAMES, OVERLAP, MERGED) + "SELECT query_table, table_name, match_type, count(*) AS n FROM mg GROUP BY ALL"
+SQL["score_statistics"] = "SELECT count(*) AS n_tables, round(avg(score), 3) AS avg_score, round(max(score), 3) AS max_score, round(min(score), 3) AS min_score, round(avg(n_matches), 3) AS avg_matches FROM (" + SQL["table_scores"] + ")"
+SQL["explanation"] = f"""SELECT query_table, table_name, count(*) AS n_matched, string_agg(query_column || ' = ' || column_name || ' (' || printf('%.2f', score) || ')', '; ' ORDER BY score DESC, query_column DESC, column_name DESC) FILTER (pos <= 3) AS explanation
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_table, table_name ORDER BY score DESC, query_column DESC, column_name DESC) AS pos FROM ({SQL['greedy_matching']})) GROUP BY 1, 2"""
+SQL["pseudo_table"] = with_(LAKE) + "SELECT 'query' AS table_name, max(row_count) AS row_count, count(*) AS column_count, string_agg(column_name || ':' || data_type, '|' ORDER BY table_name, ordinal) AS columns FROM lc WHERE column_name LIKE '%key'"
+SQL["slow_queries"] = """WITH l AS (SELECT user_id % 10 AS part, count(*) AS n, count(*) FILTER (value > 100) AS n_slow, avg(value) AS mean, max(value) AS most, list_sort(list(value)) AS v, count(*) / sum(value) AS qps,
+      1 - avg(coalesce(event_type = 'error', false)::INT) AS ok FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL GROUP BY 1)
+    SELECT part, n, n_slow, v[(floor(n * 0.5) + 1)::BIGINT] AS p50, v[(floor(n * 0.9) + 1)::BIGINT] AS p90, CASE WHEN n < 100 THEN most ELSE v[(floor(n * 0.99) + 1)::BIGINT] END AS p99, round(mean, 6) AS mean, round(ok, 6) AS success_rate, round(qps, 6) AS qps FROM l"""
+SQL["alerts"] = """WITH s AS (SELECT 1 - avg((event_type = 'error')::INT) AS ok, avg(value) AS mean, avg((event_type = 'view')::INT) AS hits FROM events)
+    SELECT unnest(list_filter([CASE WHEN ok < 0.95 THEN 'success rate below 95 %' END, CASE WHEN mean > 10 THEN 'mean time above 10 s' END, CASE WHEN hits < 0.30 THEN 'cache hit rate below 30 %' END], lambda x: x IS NOT NULL)) AS alert FROM s"""

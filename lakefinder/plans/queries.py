@@ -232,6 +232,21 @@ def q_fused_queries(spark, sf_dir):
     return vectors.fuse_queries(vectors.nearest(_asked(v), v, 10).drop("rank"), n, 10).withColumn("score", F.round("score", 6))
 
 
+def q_nearest_among(spark, sf_dir):
+    """The five nearest vectors among the fifty of the query's own stretch of ids."""
+    v = _vectors(spark, sf_dir)
+    stretch = F.floor(F.col("id") / 50).alias("stretch")
+    candidates = _asked(v).select(F.col("id").alias("query_id"), stretch).join(v.select("id", stretch), "stretch").where("query_id != id")
+    return vectors.nearest_among(_asked(v), v, candidates, 5).select("query_id", "id", "rank")
+
+
+def q_relaxed_vectors(spark, sf_dir):
+    """The vector layer's relaxed filter: above 0.25, then above half of it at 0.9, padded to ten at 0.7."""
+    v = _vectors(spark, sf_dir)
+    found = vectors.nearest(_asked(v), v, 12).select(F.col("query_id").alias("query_table"), F.col("id").alias("table_name"), "score")
+    return metadata.relaxed(found, 6, 0.25, 0.9, 10, 0.7).select("query_table", "table_name", F.round("score", 6).alias("score"), "kind")
+
+
 def q_index_search(spark, sf_dir):
     """Neighbours through an index of centroids; every vector is indexed."""
     v = _vectors(spark, sf_dir)
@@ -248,17 +263,33 @@ def q_vector_metrics(spark, sf_dir):
     return evaluate.macro(evaluate.query_metrics(got, _label_truth(v))).select("n_queries", *(F.round(m, 6).alias(m) for m in evaluate.METRICS))
 
 
+def q_metric_spread(spark, sf_dir):
+    """Mean, deviation, least and most of each retrieval metric over the queries."""
+    v = _vectors(spark, sf_dir)
+    got = vectors.nearest(_asked(v), v, 10).select(F.col("query_id").cast("string").alias("query_table"), F.col("id").cast("string").alias("table_name"), "score")
+    return evaluate.spread(evaluate.query_metrics(got, _label_truth(v))).select("metric", *(F.round(c, 6).alias(c) for c in ("mean", "std", "min", "max")))
+
+
 def _label_truth(v):
     q = _asked(v).select(F.col("id").cast("string").alias("query_table"), "label")
     return q.join(v.select(F.col("id").cast("string").alias("candidate_table"), "label"), "label").where("query_table != candidate_table").select("query_table", "candidate_table")
 
 
-def q_layer_metrics(spark, sf_dir):
+def _layer_metrics(v, k: int):
+    got = vectors.nearest(_asked(v), v, k).select(F.col("query_id").cast("string").alias("query_table"), F.col("id").cast("string").alias("table_name"), "score")
+    inputs = _asked(v).select(F.col("id").cast("string").alias("query_table"), F.lit(v.count()).alias("n_in"))
+    return evaluate.layer_metrics(inputs, got, _label_truth(v))
+
+
+def q_layer_means(spark, sf_dir):
+    """Means for each cut of two layers, one that lets 20 vectors through and one that lets 5."""
     v = _vectors(spark, sf_dir)
-    got = vectors.nearest(_asked(v), v, 20).select(F.col("query_id").cast("string").alias("query_table"), F.col("id").cast("string").alias("table_name"), "score")
-    n = v.count()
-    inputs = _asked(v).select(F.col("id").cast("string").alias("query_table"), F.lit(n).alias("n_in"))
-    return evaluate.layer_metrics(inputs, got, _label_truth(v)).select("query_table", "k", *(F.round(c, 6).alias(c) for c in ("filter_ratio", "retention", "precision", "recall")), "hit")
+    both = _layer_metrics(v, 20).withColumn("layer", F.lit("wide")).unionByName(_layer_metrics(v, 5).withColumn("layer", F.lit("narrow")))
+    return evaluate.layer_means(both).select("layer", "k", "n_queries", *(F.round(c, 6).alias(c) for c in ("filter_ratio", "retention", "precision", "recall", "hit")))
+
+
+def q_layer_metrics(spark, sf_dir):
+    return _layer_metrics(_vectors(spark, sf_dir), 20).select("query_table", "k", *(F.round(c, 6).alias(c) for c in ("filter_ratio", "retention", "precision", "recall")), "hit")
 
 
 def q_truth_frequency(spark, sf_dir):
@@ -297,6 +328,24 @@ def q_lsh_similar(spark, sf_dir):
     return lsh.similar(items, items, 0.3, None)
 
 
+def q_lsh_statistics(spark, sf_dir):
+    """Buckets of all 32 bands of the columns' signatures."""
+    return lsh.statistics(lsh.banded(_lsh_items(spark, sf_dir), 32)).withColumn("items_per_bucket", F.round("items_per_bucket", 6))
+
+
+def q_minhash_estimate(spark, sf_dir):
+    """Estimated similarity of columns that share one of 32 bands."""
+    items = materialize(_lsh_items(spark, sf_dir), "lsh")
+    both = lsh.candidates(items, items, 32).where("query_id < id")
+    both = both.join(items.select(F.col("id").alias("query_id"), F.col("signature").alias("q_signature")), "query_id").join(items.select("id", "signature"), "id")
+    return both.select("query_id", "id", F.round(lsh.estimate(F.col("q_signature"), F.col("signature")), 9).alias("estimate"))
+
+
+def q_lsh_table_features(spark, sf_dir):
+    t = lake(spark, sf_dir).tables
+    return t.select("table_name", F.explode(X.lsh_table_features(F.col("table_name"), F.col("columns"))).alias("feature"))
+
+
 def q_text_search(spark, sf_dir):
     return overlap.text_search(overlap.text_postings(lake(spark, sf_dir).columns), ["orders", "custkey", "string", "doc"], 10).withColumn("weight", F.round("weight", 6)).withColumn("score", F.round("score", 9))
 
@@ -315,10 +364,23 @@ def q_merged_hits(spark, sf_dir):
     return fusion.merge_hits(_semantic(spark, sf_dir), _by_value(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
 
 
-def q_table_scores(spark, sf_dir):
+def q_match_types(spark, sf_dir):
+    """How many columns each kind of match ties together, for every two tables."""
+    return fusion.type_histogram(fusion.merge_hits(_semantic(spark, sf_dir), _by_value(spark, sf_dir)))
+
+
+def _table_scores(spark, sf_dir):
     hits = fusion.merge_hits(_semantic(spark, sf_dir), _by_value(spark, sf_dir))
     n = lake(spark, sf_dir).tables.select(F.col("table_name").alias("query_table"), F.col("column_count").alias("n_query"))
-    out = fusion.score_tables(hits, n)
+    return fusion.score_tables(hits, n)
+
+
+def q_score_statistics(spark, sf_dir):
+    return fusion.table_statistics(_table_scores(spark, sf_dir)).select("n_tables", *(F.round(c, 3).alias(c) for c in ("avg_score", "max_score", "min_score", "avg_matches")))
+
+
+def q_table_scores(spark, sf_dir):
+    out = _table_scores(spark, sf_dir)
     return out.select("query_table", "table_name", "n_matches", *(F.round(c, 3).alias(c) for c in ("avg_confidence", "coverage", "key_bonus", "score")))
 
 
@@ -338,6 +400,11 @@ def q_greedy_matching(spark, sf_dir):
     return assignment.greedy(P.by_names(_pairs(spark, sf_dir), 0.5))
 
 
+def q_explanation(spark, sf_dir):
+    """The three best matched columns of every two tables, in words."""
+    return assignment.explanation(assignment.greedy(P.by_names(_pairs(spark, sf_dir), 0.5)))
+
+
 def q_assignment(spark, sf_dir):
     """Maximum-weight assignment of the columns of every two tables, and the scores from it."""
     found = materialize(assignment.matched_columns(P.by_names(_pairs(spark, sf_dir), 0.3), 0.6), "assigned")
@@ -355,12 +422,36 @@ def q_top_down(spark, sf_dir):
     return discover.discover(found, query_tables=found.tables.select("table_name"), task="union").tables
 
 
+def q_early_top_down(spark, sf_dir):
+    """As ``top_down``, but queries with a vector score above ``Config.early_stop`` end at the vector layer."""
+    found = lake(spark, sf_dir)
+    return discover.top_down(found, found.tables.select("table_name"), early=True).tables
+
+
+def q_keyword_search(spark, sf_dir):
+    """The ten tables whose descriptions are nearest to some words."""
+    return discover.by_keywords(lake(spark, sf_dir), "orders of a customer", threshold=0.0).tables
+
+
+def q_assigned_tables(spark, sf_dir):
+    """Tables like orders by an assignment of columns, among those that the metadata layer finds."""
+    found = lake(spark, sf_dir)
+    return discover.by_assignment(found, found.tables.where("table_name = 'orders'").select("table_name")).tables
+
+
 def q_bottom_up(spark, sf_dir):
     found = lake(spark, sf_dir)
     asked = found.columns.where("table_name = 'orders'").select("table_name", "column_name")
     return discover.discover(found, query_columns=asked, task="join").tables
 
 
+def q_pseudo_table(spark, sf_dir):
+    """The key columns of the lake as one table."""
+    found = lake(spark, sf_dir)
+    out = discover.pseudo_table(found.columns.where("column_name like '%key'"), found)
+    return out.select("table_name", "row_count", "column_count", F.array_join(F.transform("columns", lambda c: F.concat_ws(":", c["column_name"], c["data_type"])), "|").alias("columns"))
+
+
 QUESTIONS = [
     (1, "find tables that join customer orders by id", 0, 0),
     (2, "combine similar tables with the same schema", 2, 14),
@@ -381,6 +472,20 @@ def q_latencies(spark, sf_dir):
     return evaluate.latencies(frames(spark, sf_dir)["events"].select("event_type", F.col("value").alias("seconds")), "event_type")
 
 
+def q_slow_queries(spark, sf_dir):
+    """Latencies with the slow ones counted, and the share of users' actions that did not fail."""
+    log = frames(spark, sf_dir)["events"].select((F.col("user_id") % 10).alias("part"), F.col("value").alias("seconds"), (F.col("event_type") == "error").alias("failed"))
+    out = evaluate.latencies(log, "part", slow=100.0, failed="failed")
+    return out.select("part", "n", "n_slow", "p50", "p90", "p99", *(F.round(c, 6).alias(c) for c in ("mean", "success_rate", "qps")))
+
+
+def q_alerts(spark, sf_dir):
+    """What is wrong with the log of events, views being taken for hits of a cache."""
+    kind = lambda k: F.avg((F.col("event_type") == k).cast("double"))
+    summary = frames(spark, sf_dir)["events"].agg((1 - kind("error")).alias("success_rate"), F.avg("value").alias("mean_seconds"), kind("view").alias("cache_hit_rate"))
+    return evaluate.alerts(summary)
+
+
 def q_windowed_counts(spark, sf_dir):
     out = incremental.windowed_counts(frames(spark, sf_dir)["events"], "ts", "event_type", "1 day")
     return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")

@@ -215,3 +215,14 @@ def test_relaxed_layer(spark):
     rows = spark.createDataFrame([("q", f"t{i}", s) for i, s in enumerate([0.9, 0.2, 0.1])], "query_table string, table_name string, score double")
     got = {r.table_name: (r.score, r.kind) for r in metadata.relaxed(rows, 6, high=0.25, discount=0.9, pad_to=3, pad_discount=0.7).collect()}
     assert got == {"t0": (0.9, 0), "t1": (0.18, 1), "t2": (0.07, 2)}
+
+
+def test_nearest_among_scores_the_candidates_alone(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0]), (4, [0.5, 0.5]), (5, None)], "id int, embedding array<double>")
+    asked = v.where("id = 1")
+    pairs = spark.createDataFrame([(1, 3), (1, 4), (1, 4), (1, 5), (1, 9), (7, 2)], "query_id int, id int")
+    got = vectors.nearest_among(asked, v.where("embedding is not null"), pairs, 5).collect()
+    assert [(r.query_id, r.id, r["rank"]) for r in got] == [(1, 4, 1), (1, 3, 2)]
+    assert [r.id for r in vectors.nearest_among(asked, v, pairs, 1, 0.5).collect()] == [4]
+    assert vectors.nearest_among(asked, v, pairs.limit(0), 5).count() == 0
+    assert vectors.nearest_among(asked.limit(0), v, pairs, 5).count() == 0
