@@ -102,6 +102,43 @@ def test_index_recall(spark):
     assert vectors.recall(vectors.index_search(q, indexed, centre, 14, 10), vectors.nearest(q, v, 10)) >= 0.9
 
 
+def test_registered_index_recall(spark):
+    """The registered query reaches a recall of 0.9, and scores rows of cells, not joined pairs."""
+    d = "/root/testdata/sf0.01"
+    v = spark.read.parquet(f"{d}/embeddings.parquet").selectExpr("vec_id AS id", "embedding")
+    found = queries.q_index_search(spark, d)
+    assert vectors.recall(found, vectors.nearest(v.where("id % 20 = 0"), v, 10)) >= 0.9
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("sizes", [{}, {"BLOCK": 9, "CANDIDATES": 16, "CELLS": 50}])
+def test_index_search_by_cells(spark, monkeypatch, sizes):
+    """All of the probed cells and nothing else; copies, repeated ids, nulls and other lengths."""
+    for name, size in sizes.items():
+        monkeypatch.setattr(vectors, name, size)
+    rnd = np.random.default_rng(5)
+    rows = [(i, rnd.normal(size=6).tolist()) for i in range(300)]
+    rows += [(i, rows[20][1]) for i in range(300, 340)] + [(20, rows[20][1])] * 8 + [(400, [0.0] * 6), (420, None), (None, rows[1][1])]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
+    centre = vectors.centroids(v.where("id < 300"), 10)
+    m = {p: np.array(r[1]) for p, r in enumerate(rows) if r[0] is not None and r[1] is not None}
+    unit = {p: x / (np.linalg.norm(x) or 1) for p, x in m.items()}
+    for include_self in (False, True):
+        got = {}
+        q = v.where("id % 20 = 0").distinct()
+        for r in vectors.index_search(q, vectors.assign(v, centre), centre, 4, 5, include_self).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], -r.score, r.id))
+        cell = {p: int(np.argmax(centre @ x)) for p, x in m.items()}
+        for i, x in {rows[p][0]: (x, unit[p]) for p, x in m.items() if rows[p][0] % 20 == 0}.items():
+            probed = {*np.argsort(-(centre @ x[0]), kind="stable")[:4].tolist()}
+            want = sorted((-round(float(unit[p] @ x[1]), 9) + 0.0, rows[p][0]) for p in m if cell[p] in probed and (include_self or rows[p][0] != i))[:5]
+            assert [(round(s, 8) + 0.0, j) for _, s, j in sorted(got.pop(i))] == [(round(s, 8) + 0.0, j) for s, j in want], i
+        assert not got
+    assert vectors.index_search(v.where("id < 0"), vectors.assign(v, centre), centre, 4, 5).count() == 0
+    odd = spark.createDataFrame([(1, [1.0, 2.0]), (2, rows[2][1])], "id long, embedding array<double>")
+    assert {r.query_id for r in vectors.index_search(odd, vectors.assign(v, centre), centre, 4, 5).collect()} == {2}
+
+
 def test_minhash(spark):
     rnd = random.Random(1)
     rows = [(str(i), sorted(rnd.sample([f"f{k}" for k in range(30)], rnd.randrange(0, 12)))) for i in range(40)]
