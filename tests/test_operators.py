@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakefinder.config import Config
+from lakefinder.functions import similarity as S
 from lakefinder.operators import assignment, evaluate, fusion, lsh, metadata, overlap, vectors
 from lakefinder.plans import columns as P, discover, queries, report, routing, verify
 from lakefinder.sources import catalog, store
@@ -139,6 +140,28 @@ def test_index_search_by_cells(spark, monkeypatch, sizes):
     assert {r.query_id for r in vectors.index_search(odd, vectors.assign(v, centre), centre, 4, 5).collect()} == {2}
 
 
+@pytest.mark.parametrize("sizes", [{}, {"BLOCK": 9, "CANDIDATES": 16, "TILE": 5}])
+def test_nearest_hybrid(spark, monkeypatch, sizes):
+    """As the expression on all pairs; near copies far from the origin, copies, nulls, NaN and other lengths."""
+    for name, size in sizes.items():
+        monkeypatch.setattr(vectors, name, size)
+    rnd = np.random.default_rng(6)
+    rows = [(i, rnd.normal(size=5).tolist(), i % 3) for i in range(160)]
+    rows += [(i, (1e4 + rnd.normal(size=5) * 1e-7).tolist(), 1) for i in range(160, 200)] + [(i, rows[20][1], i % 2) for i in range(200, 240)] + [(40, rows[40][1], 1)] * 9
+    rows += [(240, [0.0] * 5, 0), (260, None, 1), (280, [1.0, 2.0], 2), (300, [1.0, None, 2.0, 3.0, 4.0], 2), (320, rows[3][1], None), (340, [float("nan")] + [1.0] * 4, 1), (None, rows[4][1], 1), (360, [], 0)]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>, label int").repartition(3)
+    q = v.where("id % 20 = 0").distinct()
+    score = S.hybrid_vector(F.col("q_embedding"), F.col("embedding"), F.col("q_label") == F.col("label"), F.lit(False))
+    for few in (v, v.where("id >= 237 or id = 3 or id is null")):
+        want, got = (sorted((r.query_id, r["rank"], r.id, repr(r.score and round(r.score, 8))) for r in found.collect()) for found in (vectors.nearest_by_expression(q, few, 5, score), vectors.nearest_hybrid(q, few, 5)))
+        assert got == want and len(got) > 50
+    assert vectors.nearest_hybrid(v.where("id < 0"), v, 5).count() == vectors.nearest_hybrid(q, v.where("id < 0"), 5).count() == 0
+
+
+def test_registered_hybrid_without_join(spark):
+    assert "Join" not in queries.q_nearest_hybrid(spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_minhash(spark):
     rnd = random.Random(1)
     rows = [(str(i), sorted(rnd.sample([f"f{k}" for k in range(30)], rnd.randrange(0, 12)))) for i in range(40)]
