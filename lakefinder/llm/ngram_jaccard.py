@@ -131,7 +131,12 @@ def _shared_keys(reps: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFr
     classes have, a class leaves out as many of each tag, the commonest, as ``parity`` allows.
     """
     rows = reps.select("rep", F.explode("keys").alias("key"))
-    shared = materialize(rows.join(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), "shared")
+    # one shuffle of all keys in a job; the first is offered for removal before the second
+    sizes = materialize(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    free_shuffles(reps.sparkSession)
+    shared = materialize(rows.join(sizes, "key"), "shared")
+    discard(sizes)
+    free_shuffles(reps.sparkSession)
     allowed = _allowed(reps.sparkSession, parity.allowances(num, den))
     hot = shared.where(F.col("size") > SMALL).withColumn("tag", F.col("key").bitwiseAND((1 << parity.TAG_BITS) - 1).cast("int"))
     order = Window.partitionBy("rep", "tag").orderBy(F.desc("size"), F.desc("key"))

@@ -139,3 +139,17 @@ def test_what_sets_may_do_without():
                     # the worst order: the shared keys are the commonest
                     left.append({k for t, ks in by_tag.items() for k in sorted(ks, key=lambda k: (k in common, k))[: len(ks) - allowed[t]]})
                 assert left[0] & left[1]
+
+
+def test_one_shuffle_of_all_keys_at_a_time(spark, monkeypatch):
+    """No table is made from the keys of all classes twice over: their sizes are a table of their own."""
+    spread, write = {}, N.materialize
+
+    def seen(df, name):
+        spread.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Generate explode(keys"))
+        return write(df, name)
+
+    monkeypatch.setattr(N, "materialize", seen)
+    docs = corpus(4, 6, (1, 3))
+    N.similar_documents(spark.createDataFrame(docs, "doc_id long, text string"), 5, 80, 100).count()
+    assert spread["shared"] == [1] and max(max(x) for x in spread.values()) == 1
