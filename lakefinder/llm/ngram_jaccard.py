@@ -32,6 +32,7 @@ No step puts the pairs of a large group together; rows grow with the members.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,8 @@ SPREAD = 12
 SMALL_SHARED = 64
 #: Larger groups are compared at once too where all of them together have no more pairs than so many for each class of the table.
 CROSS = 20
+#: Keys of more classes than SLICED are counted and joined in SLICES parts, one after the other: only one part's shuffles are on disk at a time.
+SLICED, SLICES = 10_000, 4
 
 
 def _digests(s: np.ndarray) -> tuple[int, int]:
@@ -123,20 +126,33 @@ def _with(pairs: DataFrame, col: str, other: DataFrame, key: str, **names: str)
     return pairs.join(other.select(F.col(key).alias(col), *(F.col(c).alias(n) for c, n in names.items())), col)
 
 
-def _shared_keys(reps: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+def _shared_keys(seen: DataFrame, reps: DataFrame, parts: int, num: int, den: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """(key, rep) rows of the keys that two classes or more share: of keys of ``SMALL`` classes at most, and of the others; and the tables behind them.
 
+    The keys are read from the rows of ``seen`` whose numbers the classes have, and ``seen`` is removed.
+    A key is in one of ``parts`` parts, by its hash, with all its classes.
     Sizes come from sums that every task begins, and a join that adaptive execution can split, so
     a key that very many classes have is no task of its own.  Of keys that more than SMALL
     classes have, a class leaves out as many of each tag, the commonest, as ``parity`` allows.
     """
-    rows = reps.select("rep", F.explode("keys").alias("key"))
-    # one shuffle of all keys in a job; the first is offered for removal before the second
-    sizes = materialize(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-    free_shuffles(reps.sparkSession)
-    shared = materialize(rows.join(sizes, "key"), "shared")
-    discard(sizes)
-    free_shuffles(reps.sparkSession)
+    keyed = seen.where("keys is not null").select(F.col("at").alias("rep"), "keys")
+    # other batches' rows of a class, and classes left out; marked by an outer join, as Spark would move whole arrays of keys for an anti join
+    others = materialize(keyed.select("rep").join(reps.select("rep"), "rep", "left_anti").withColumn("other", F.lit(True)), "others")
+    marks, tables = if_few(others), []
+    for part in range(parts):
+        rows = keyed.select("rep", F.explode("keys").alias("key"))
+        if parts > 1:
+            rows = rows.where(F.pmod(F.shiftrightunsigned("key", parity.TAG_BITS), F.lit(parts)) == part)
+        rows = rows.join(marks, "rep", "left").where("other is null").select("rep", "key")
+        # one shuffle of a part's keys in a job; the first is offered for removal before the second
+        sizes = materialize(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+        free_shuffles(reps.sparkSession)
+        tables.append(materialize(rows.join(sizes, "key").select("key", "rep", "size"), "shared"))
+        discard(sizes)
+        free_shuffles(reps.sparkSession)
+    for done in (seen, others):
+        discard(done)
+    shared = reduce(DataFrame.unionByName, tables)
     allowed = _allowed(reps.sparkSession, parity.allowances(num, den))
     hot = shared.where(F.col("size") > SMALL).withColumn("tag", F.col("key").bitwiseAND((1 << parity.TAG_BITS) - 1).cast("int"))
     order = Window.partitionBy("rep", "tag").orderBy(F.desc("size"), F.desc("key"))
@@ -144,7 +160,7 @@ def _shared_keys(reps: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFr
     kept = materialize(kept, "kept")
     sized = kept.join(kept.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
     small = shared.where(F.col("size") <= SMALL).select("key", "rep").unionByName(sized.where(F.col("size") <= SMALL).select("key", "rep"))
-    return small, sized.where(F.col("size") > SMALL).select("key", "rep"), [shared, kept]
+    return small, sized.where(F.col("size") > SMALL).select("key", "rep"), [*tables, kept]
 
 
 def _allowed(spark: SparkSession, allowed: list[int]) -> DataFrame:
@@ -335,10 +351,11 @@ def _families(hubs: DataFrame) -> DataFrame:
     return members.join(chosen.select("v", (-F.col("best.neg")).alias("hub")), "v").where("u != hub").select("hub", F.col("u").alias("rep"))
 
 
-def links(docs: DataFrame, reps: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(u, v): the smallest class v of the component of each class u; docs: (th, text), reps: rep, th, d1, d2, n, sketch and keys of each class."""
-    spark, most = docs.sparkSession, CROSS * reps.count()
-    small, large, behind = _shared_keys(reps, num, den)
+def links(docs: DataFrame, seen: DataFrame, reps: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """(u, v): the smallest class v of the component of each class u; docs: (th, text), seen: number and keys of rows, reps: rep, th, d1, d2, n and sketch of each class."""
+    spark, n = docs.sparkSession, reps.count()
+    most = CROSS * n
+    small, large, behind = _shared_keys(seen, reps, SLICES if n > SLICED else 1, num, den)
     free_shuffles(spark)
     pairs, hubs = _first_groups(small, large)
     near, hubs = _near(pairs, reps, num, den), materialize(hubs, "hubs")
@@ -390,18 +407,16 @@ def text_hash(text: Column) -> Column:
 
 def _linked(rows: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """From (doc_id, th, text): members (doc_id, th, n, rep), classes (rep, name: its smallest doc_id), and the components (u, v) of classes."""
-    seen = materialize(_profiles(rows, size, num, den), "classes")
-    # one row for each class; equal digests of a hot text meet as one row of each task
-    reps = seen.where("n > 0").groupBy("d1", "d2", "n").agg(
-        F.min("doc_id").alias("name"), F.min("th").alias("th"), F.first("sketch", True).alias("sketch"), F.first("keys", True).alias("keys")
-    )
-    reps = materialize(reps.withColumn("rep", F.monotonically_increasing_id()), "reps")
+    seen = materialize(_profiles(rows, size, num, den).withColumn("at", F.monotonically_increasing_id()), "classes")
+    # one row for each class, by the number of a row that has its keys, which stay there; equal digests of a hot text meet as one row of each task
+    number = F.min(F.when(F.col("sketch").isNotNull(), F.col("at"))).alias("rep")
+    reps = seen.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("name"), F.min("th").alias("th"), F.first("sketch", True).alias("sketch"), number)
+    reps = materialize(reps, "reps")
     free_shuffles(rows.sparkSession)
     members = seen.select("doc_id", "th", "n", "d1", "d2").join(reps.select("d1", "d2", "n", "rep", "name"), ["d1", "d2", "n"], "left")
     members = materialize(members.select("doc_id", "th", "n", "rep", "name"), "members")
-    discard(seen)
     free_shuffles(rows.sparkSession)
-    found = links(rows.select("th", "text"), reps.where("name is not null"), size, num, den)
+    found = links(rows.select("th", "text"), seen, reps.where("name is not null"), size, num, den)
     return members, reps.select("rep", "name"), found
 
 

@@ -153,3 +153,27 @@ def test_one_shuffle_of_all_keys_at_a_time(spark, monkeypatch):
     docs = corpus(4, 6, (1, 3))
     N.similar_documents(spark.createDataFrame(docs, "doc_id long, text string"), 5, 80, 100).count()
     assert spread["shared"] == [1] and max(max(x) for x in spread.values()) == 1
+
+
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_keys_are_kept_once_and_moved_in_parts(spark, monkeypatch, few):
+    """Only the rows' own table holds arrays of keys; counting and joining take one part of the keys at a time, and lose none."""
+    tables, write = {}, N.materialize
+
+    def seen(df, name):
+        out = write(df, name)
+        tables.setdefault(name, []).append((out.columns, {r.key for r in out.select("key").collect()} if name == "shared" else None))
+        return out
+
+    monkeypatch.setattr(N, "materialize", seen)
+    monkeypatch.setattr(N, "SLICED", 0, raising=False)
+    monkeypatch.setattr(N, "SLICES", 3, raising=False)
+    monkeypatch.setattr("lakefinder.llm.components.FEW", few)
+    docs = corpus(7, 14, (2, 6))
+    docs += [(1000 + i, t) for i, t in docs[:20]] + [(None, "a class of nulls alone " * 9), (None, docs[0][1])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)  # copies in several batches
+    got = N.similar_documents(frame, 3, 90, 100).where("doc_id is not null").collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(docs, 3, 90, 100)
+    assert {name for name, made in tables.items() for columns, _ in made if "keys" in columns} == {"classes"}
+    parts = [keys for _, keys in tables["shared"]]
+    assert len(parts) == 3 and all(parts) and sum(map(len, parts)) == len(set.union(*parts))
