@@ -80,6 +80,20 @@ def test_metric_spread(spark, monkeypatch):
     check(spark, monkeypatch, "metric_spread")
 
 
+def test_layer_means(spark, monkeypatch):
+    searches, search = [], vectors.nearest
+    monkeypatch.setattr(vectors, "nearest", lambda *a, **k: searches.append(1) or search(*a, **k))
+    check(spark, monkeypatch, "layer_means")
+    assert len(searches) == 2  # one for each of the two tables
+
+
+def test_layer_metrics_of_labels_are_those_of_pairs(spark):
+    got, labels, pairs = odd(spark)
+    inputs = got.select("query_table").distinct().withColumn("n_in", F.lit(50))
+    want = sorted(map(tuple, evaluate.layer_metrics(inputs, got, pairs).collect()))
+    assert len(want) > 8 and sorted(map(tuple, evaluate.layer_metrics(inputs, got, labels).collect())) == want
+
+
 @pytest.mark.parametrize("metric", ["cosine", "euclidean"])
 def test_nearest_of_equal_vectors(spark, metric):
     """Many copies, a vector of NaN and a threshold, against plain Python."""
