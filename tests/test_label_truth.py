@@ -80,6 +80,10 @@ def test_metric_spread(spark, monkeypatch):
     check(spark, monkeypatch, "metric_spread")
 
 
+def test_vector_metrics(spark, monkeypatch):
+    check(spark, monkeypatch, "vector_metrics")
+
+
 def test_layer_means(spark, monkeypatch):
     searches, search = [], vectors.nearest
     monkeypatch.setattr(vectors, "nearest", lambda *a, **k: searches.append(1) or search(*a, **k))
