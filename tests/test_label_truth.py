@@ -91,6 +91,10 @@ def test_layer_means(spark, monkeypatch):
     assert len(searches) == 2  # one for each of the two tables
 
 
+def test_layer_metrics(spark, monkeypatch):
+    check(spark, monkeypatch, "layer_metrics")
+
+
 def test_layer_metrics_of_labels_are_those_of_pairs(spark):
     got, labels, pairs = odd(spark)
     inputs = got.select("query_table").distinct().withColumn("n_in", F.lit(50))
